@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing
-from .common import table
+from . import chat, decontaminate, exact_dedup, language_id, packing, toxicity
+from .common import held_out, table
 
 SAID = "<|im_end|><|im_start|>assistant ok"
 CAPACITY, END_ID = 4096, 2
@@ -20,6 +20,47 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.training_sample(docs.where(~held_out("doc_id", 5))))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5))
+    model = toxicity.fit(toxicity.training_sample(docs, labels))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+OP5_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+iw as (
+  select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[p : p + least(len(ws), 10) - 1], ' ') as t
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) as p from i where len(ws) > 0)),
+lengths as (select distinct n from iw),
+dw as (
+  select doc_id, p, n, array_to_string(ws[p : p + n - 1], ' ') as t
+  from (select doc_id, ws, n, unnest(range(1, greatest(len(ws) - n + 1, 0) + 1)) as p from w, lengths)),
+h as (select doc_id, p, dw.n as n, item_id from dw join iw on dw.n = iw.n and dw.t = iw.t),
+hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, item_id::varchar as s from h) group by doc_id)
+select w.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join hit on hit.doc_id = w.doc_id left join its on its.doc_id = w.doc_id
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,11 +111,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_toxicity": op6_toxicity,
         "op7_chat_formatting": op7_chat_formatting,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_chat_formatting": OP7_SQL}
