@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, packing, substring_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, language_id, packing, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
 
 SAID = "<|im_end|><|im_start|>assistant ok"
@@ -109,6 +109,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, CAPACITY)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "starts", "ends")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -116,6 +120,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_toxicity": op6_toxicity,
