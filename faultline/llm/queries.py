@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, packing, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, language_id, ngram_lm, packing, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
 
 SAID = "<|im_end|><|im_start|>assistant ok"
@@ -105,6 +105,10 @@ from e group by conv_id
 """
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, CAPACITY)
 
@@ -125,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_toxicity": op6_toxicity,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_packing": op9_packing,
         "op10_substring_dedup": op10_substring_dedup,
     }
