@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, ngram_lm, packing, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, ngram_lm, packing, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
 
 SAID = "<|im_end|><|im_start|>assistant ok"
@@ -113,6 +113,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, CAPACITY)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "starts", "ends")
 
@@ -124,6 +128,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontaminate": op5_decontaminate,

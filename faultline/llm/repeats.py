@@ -57,7 +57,7 @@ class Spans:
 
 
 def prepared(docs: DataFrame, buckets: int) -> DataFrame:
-    """_d (id, null as the largest), _null, text, _th (48 bits), _rep, bucket.
+    """_d (id, null as the largest), _null, text, _th (48 bits), _tid, _rep, bucket.
 
     ``_rep`` is the smallest id with the same text if the text is frequent.
     """
@@ -73,7 +73,7 @@ def prepared(docs: DataFrame, buckets: int) -> DataFrame:
     home = F.pmod(th, F.lit(buckets))
     away = F.pmod(F.xxhash64("_d"), F.lit(buckets))
     bucket = F.when(F.col("_rep").isNotNull() & (F.col("_rep") != F.col("_d")), away).otherwise(home)
-    return rows.select("_d", "_null", "text", th.alias("_th"), "_rep", bucket.cast("int").alias("bucket"))
+    return rows.select("_d", "_null", "text", th.alias("_th"), F.xxhash64("_sha").alias("_tid"), "_rep", bucket.cast("int").alias("bucket"))
 
 
 def representatives(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
