@@ -1,12 +1,64 @@
-"""The corpus pipeline: stages of the training-data operators, in order."""
+"""The corpus pipeline: five stages, each one operator on what the one before kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``.  ``run`` applies them in order to the documents table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultline.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from faultline.llm.common import held_out, materialize, table, without_ids
+from faultline.llm.queries import CAPACITY, END_ID, tokenizer_path
 
-STAGES: list = []
+#: SQL can't express the toxicity classifier or the tokenizer; the tests compare
+#: the pipeline with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts toxic go."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5))
+    model = toxicity.fit(toxicity.training_sample(docs, labels))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the smallest doc_id stays."""
+    return without_ids(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by shingle similarity, the smallest doc_id stays."""
+    return without_ids(docs, jaccard_join.similar_components(docs).where(F.col("doc_id") != F.col("component_id")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return without_ids(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of all that is left, packed into sequences."""
+    return packing.pack(docs, tokenizer_path(), END_ID, CAPACITY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in order; what a stage keeps is checkpointed for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
+    return docs

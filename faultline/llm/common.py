@@ -66,3 +66,15 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
     hot = a.where(is_heavy).drop("_heavy")
     cold = a.where(~is_heavy).drop("_heavy", *payload).join(light, key, "left").select(*hot.columns)
     return hot.unionByName(cold)
+
+
+#: Most ids that may be broadcast; more of them go through a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids``; rows with a null
+    id stay.  The ids are broadcast only if there are few, by count."""
+    gone = materialize(ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

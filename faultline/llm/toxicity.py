@@ -199,3 +199,17 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], ["doc_id", "score", "predicted"])
 
     return slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns as they
+    are; a null text is judged like an empty one.  Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
