@@ -23,37 +23,83 @@ from pyspark.sql import functions as F
 from .common import materialize, slim, width
 
 _ENCODERS: dict[str, object] = {}
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 600_000
+#: Texts are encoded so many characters at a time.
+_BLOCK_CHARS = 2_000_000
 
 
 class _Encoder:
     """Ids of whole texts as little-endian bytes, through a bounded word cache.
 
-    The tokenizer drops white space and never joins across it, so the pieces
-    between ASCII blanks can be encoded one by one and their ids remembered.
+    The tokenizer drops white space and never joins across it, so the words
+    between ASCII blanks can be encoded apart and their ids remembered.  A full
+    stop or comma after letters is a token of its own.  Unknown words of letters
+    only go to the tokenizer in one string, whose ids are cut where a word ends.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.marks = {m: self._one(m) for m in ".,"}
 
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known, out, todo = self.known, [], []
+        for text in texts:
+            words = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
+            todo.append(words)
+        unknown: set[str] = set()
+        for words in todo:
+            unknown.update(words)
+        unknown.difference_update(known)
+        self._learn(unknown)
+        for words in todo:
+            out.append(b"".join([known[w] for w in words]))
         if len(known) > _CACHED_WORDS:
             known.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        if len(self.cores) > _CACHED_WORDS:
+            self.cores.clear()
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        known, cores, split, fresh, odd = self.known, self.cores, [], set(), []
+        for w in words:
+            core, mark = (w[:-1], w[-1]) if w[-1:] in self.marks else (w, "")
+            if core.isalpha():
+                if core.isascii():
+                    core = core.lower()
+                split.append((w, core, mark))
+                if core not in cores:
+                    fresh.add(core)
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self._learn_cores(sorted(fresh))
+        for w, core, mark in split:
+            known[w] = cores[core] + self.marks[mark] if mark else cores[core]
+
+    def _learn_cores(self, fresh: list[str]) -> None:
+        if not fresh:
+            return
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(fresh) and stops[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(fresh, (stops * 4).tolist(), strict=True):
+                self.cores[w] = raw[at:stop]
+                at = stop
+        else:  # some word became several in the tokenizer's normal form
+            for w in fresh:
+                self.cores[w] = self._one(w)
 
 
 def _encoder(path: str) -> _Encoder:
@@ -65,6 +111,19 @@ def _encoder(path: str) -> _Encoder:
     return _ENCODERS[path]
 
 
+def _encoded(encoder: _Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    doc_ids, block, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        doc_ids.append(doc_id)
+        block.append(text.as_py() or "")
+        size += len(block[-1])
+        if size >= _BLOCK_CHARS:
+            yield from zip(doc_ids, encoder.encode(block), strict=True)
+            doc_ids, block, size = [], [], 0
+    if block:
+        yield from zip(doc_ids, encoder.encode(block), strict=True)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, include_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document, ``end_id`` last."""
 
@@ -73,8 +132,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
+            for doc_id, ids in _encoded(encoder, batch):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
