@@ -44,18 +44,18 @@ STEMS = (4, 5, 6)
 _HASH_BITS, _SCREENED, _LEAST_Z = 22, 3000, 3.0
 
 
-def features_of(text: str | None) -> set[str]:
-    """The words of a text and their stems."""
-    out = set(_WORD.findall(text.lower())) if text else set()
-    for n in STEMS:
-        out |= {w[:n] + "*" for w in out if len(w) > n and w[-1] != "*"}
-    return out
+def features_of(text: str | None, whole: frozenset[str]) -> set[str]:
+    """The words of a text and the stems of those that aren't in ``whole``
+    (identity terms have none, so that a swap changes all they contribute)."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    return words | {w[:n] + "*" for w in words - whole for n in STEMS if len(w) > n}
 
 
 @dataclass
 class ToxicityModel:
     bias: float
     weights: dict[str, float]
+    whole: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
         self._memo: dict[str, tuple[str, ...]] = {}
@@ -69,25 +69,25 @@ class ToxicityModel:
         for w in set(_WORD.findall(text.lower())) if text else ():
             own = memo.get(w)
             if own is None:
-                own = memo[w] = tuple(f for f in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)) if f in weights)
+                own = memo[w] = tuple(f for f in (w, *(w[:n] + "*" for n in STEMS if len(w) > n and w not in self.whole)) if f in weights)
             if own:
                 found.update(own)
         z = self.bias + sum(weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def _screen(texts: list[str | None], y: np.ndarray, always: set[str]) -> list[set[str]]:
+def _screen(texts: list[str | None], y: np.ndarray, always: frozenset[str]) -> list[set[str]]:
     """Of each text, the features that are associated with the label."""
     counts = np.zeros((2, 1 << _HASH_BITS))
     code = lambda f: zlib.crc32(f.encode()) >> (32 - _HASH_BITS)
     for text, t in zip(texts, y, strict=True):
-        counts[int(t), np.unique(np.fromiter(map(code, features_of(text)), np.int64))] += 1
+        counts[int(t), np.unique(np.fromiter(map(code, features_of(text, always)), np.int64))] += 1
     n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
     rate, both = counts / n[:, None], counts.sum(0) / n.sum()
     z = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n).sum() + 1e-12)
     z[counts.sum(0) < 3] = 0
     kept = set(np.argsort(-z, kind="stable")[:_SCREENED].tolist()) & set(np.nonzero(z >= _LEAST_Z)[0].tolist())
-    return [{f for f in features_of(text) if f in always or code(f) in kept} for text in texts]
+    return [{f for f in features_of(text, always) if f in always or code(f) in kept} for text in texts]
 
 
 class _Problem:
@@ -163,8 +163,9 @@ def fit(rows: list[tuple[str | None, int]], identity_terms: tuple[tuple[str, ...
     if not len(y) or y.min() == y.max():
         return ToxicityModel((4.0 if len(y) and y[0] else -4.0), {})
     following = {t: g[(i + 1) % len(g)] for g in identity_terms for i, t in enumerate(g)}
-    sets = _screen([x for x, _ in rows], y, set(following))
-    index = {f: i for i, f in enumerate(sorted(set().union(*sets) | set(following)))}
+    whole = frozenset(following)
+    sets = _screen([x for x, _ in rows], y, whole)
+    index = {f: i for i, f in enumerate(sorted(set().union(*sets) | whole))}
     names = list(index)
     chosen = _select(_Problem(sets, index, following), y, l1, swap)
     seen = {t for s in sets for t in s if t in following}
@@ -173,7 +174,7 @@ def fit(rows: list[tuple[str | None, int]], identity_terms: tuple[tuple[str, ...
         return ToxicityModel(float(np.log(y.mean() / (1 - y.mean()))), {})
     index = {f: i for i, f in enumerate(kept)}
     w, bias = _refit(_Problem(sets, index, following), y, l2, swap)
-    return ToxicityModel(bias, {f: float(w[i]) for f, i in index.items() if w[i]})
+    return ToxicityModel(bias, {f: float(w[i]) for f, i in index.items() if w[i]}, whole)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str | None, int]]:
