@@ -127,7 +127,7 @@ def score(docs: DataFrame, train: Column, model: LogBloom = LogBloom()) -> DataF
     """
     spark = docs.sparkSession
     n = width(spark)
-    buckets, parts = 4 * n, n
+    buckets, parts = 2 * n, n  # messages: one for each pair of a bucket and a range
     slice_bits = max(64, model.bits // parts // 8 * 8)
     # rows of one text are spread by id and text; the bucket's size doesn't depend on any key
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"), (~train).alias("_out"))
