@@ -28,6 +28,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size estimates of the plan behind it.
+
+    A checkpointed frame keeps these, and each join multiplies them: over the
+    rounds of an iteration they become numbers of millions of digits.
+    """
+    spark, kept = df.sparkSession, materialize(df)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(fresh, spark)
+
+
 def width(spark: SparkSession) -> int:
     """The parallelism the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialize
+from .common import attach_groups, settled
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,9 +25,9 @@ def components(links: DataFrame) -> DataFrame:
     node that can be reached.  Stars are replaced until nothing changes; each
     round is checkpointed and no links reach the driver."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, last = materialize(edges), None
+    edges, last = settled(edges), None
     while True:
-        edges = materialize(_star(materialize(_star(edges, large=True)), large=False))
+        edges = settled(_star(settled(_star(edges, large=True)), large=False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

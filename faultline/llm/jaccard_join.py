@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, repeats
-from .common import attach_groups, materialize, width
+from .common import attach_groups, settled, width
 from .components import components
 
 #: Counters of the sketch that orders shingles.
@@ -165,9 +165,9 @@ class _Join:
                 for g, s, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(s, "<u4").astype(np.int32))], ["text", "gid", "n"])
 
-        sent = materialize(self.single.select("_tid", "text").mapInArrow(send, "part int, gid binary, size binary, times binary, keys binary, text binary"))
-        members = materialize(sent.where("part = -1").select("gid", "size", "text").mapInArrow(unfold, "text long, gid long, n int").distinct())
-        postings = materialize(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int"))
+        sent = settled(self.single.select("_tid", "text").mapInArrow(send, "part int, gid binary, size binary, times binary, keys binary, text binary"))
+        members = settled(sent.where("part = -1").select("gid", "size", "text").mapInArrow(unfold, "text long, gid long, n int").distinct())
+        postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int"))
         return members, postings
 
     def sets(self, candidates: DataFrame) -> DataFrame:
@@ -184,12 +184,12 @@ class _Join:
             return pa.Table.from_arrays([pa.array(list(picked), pa.int64()), pa.array(blobs, pa.binary())], schema=shape)
 
         asked = candidates.withColumn("bucket", F.pmod(F.shiftrightunsigned("text", 16), F.lit(self.buckets)).cast("int"))
-        return materialize(self.single.select("_tid", "text", "bucket").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(build, "text long, set binary"))
+        return settled(self.single.select("_tid", "text", "bucket").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(build, "text long, set binary"))
 
     def tested(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b, linked, d) for distinct pairs; a may be in very many."""
         percent, lanes = self.percent, 4 * width(pairs.sparkSession)
-        pairs = materialize(pairs.select("a", "b").distinct().withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int")))
+        pairs = settled(pairs.select("a", "b").distinct().withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int")))
         theirs = pairs.join(sets.withColumnRenamed("text", "b"), "b")
         pivots = pairs.select("a", "lane").distinct().join(sets.withColumnRenamed("text", "a"), "a")
         # columns of their own, as both sides stem from the same tables
@@ -207,7 +207,7 @@ class _Join:
                 d.append(1 - both / max(either, 1))
             return pa.Table.from_arrays([table.column("a").combine_chunks(), table.column("b").combine_chunks(), pa.array(linked, pa.bool_()), pa.array(d, pa.float64())], schema=shape)
 
-        return materialize(theirs.groupBy("lane").cogroup(pivots.groupBy("lane")).applyInArrow(verify, "a long, b long, linked boolean, d double"))
+        return settled(theirs.groupBy("lane").cogroup(pivots.groupBy("lane")).applyInArrow(verify, "a long, b long, linked boolean, d double"))
 
     def near(self, x: str, y: str):
         return F.lit(100) * F.least(x, y) >= F.lit(self.percent) * F.greatest(x, y)
@@ -215,10 +215,10 @@ class _Join:
     def links(self, members: DataFrame, postings: DataFrame) -> DataFrame:
         """(a, b) links that connect what all links connect."""
         total = max(1, members.count())
-        groups = materialize(members.groupBy("gid").agg(F.min("text").alias("leader"), F.count("*").alias("_k")))
+        groups = settled(members.groupBy("gid").agg(F.min("text").alias("leader"), F.count("*").alias("_k")))
         alike = groups.where("_k > 1").select("gid")
         wanted = postings.select("gid").distinct().unionByName(alike).distinct()
-        candidates = materialize(members.join(wanted, "gid", "left_semi").select("text"))
+        candidates = settled(members.join(wanted, "gid", "left_semi").select("text"))
         sets = self.sets(candidates)
 
         led = attach_groups(members, groups, "gid", "_k", total)
@@ -226,7 +226,7 @@ class _Join:
         inside = zero.where("linked").select(F.col("b").alias("text"), F.col("a").alias("unit"), F.col("d").alias("d0"))
         apart = zero.where("not linked").select(F.col("b").alias("text"))
         units = members.join(groups.select(F.col("leader").alias("text")).unionByName(apart), "text", "left_semi").select(F.col("text").alias("unit"), "gid", "n")
-        lists = materialize(postings.select("token", "gid").join(units, "gid").select("token", "unit", "n").unionByName(
+        lists = settled(postings.select("token", "gid").join(units, "gid").select("token", "unit", "n").unionByName(
             units.join(alike, "gid", "left_semi").select(F.col("gid").alias("token"), "unit", "n")))
 
         rank = F.struct(F.xxhash64("unit").alias("r"), F.col("unit").alias("pivot"), F.col("n").alias("pn"))
@@ -239,12 +239,12 @@ class _Join:
 
         all_units = units.join(close, "unit", "left").select("unit", "n", F.coalesce("center", "unit").alias("center"), F.coalesce("d1", F.lit(0.0)).alias("d1"))
         reach = inside.groupBy("unit").agg(F.max("d0").alias("r0"))
-        all_units = materialize(all_units.join(reach, "unit", "left").withColumn("r0", F.coalesce("r0", F.lit(0.0))))
+        all_units = settled(all_units.join(reach, "unit", "left").withColumn("r0", F.coalesce("r0", F.lit(0.0))))
         radius = all_units.groupBy("center").agg(F.max(F.col("d1") + F.col("r0")).alias("radius"))
         size = units.select(F.col("unit").alias("center"), F.col("n").alias("cn"))
-        balls = materialize(radius.join(size, "center"))
+        balls = settled(radius.join(size, "center"))
         found = zero.where("linked").select("a", "b").unionByName(one.where("linked").select("a", "b"))
-        roots = materialize(components(found))
+        roots = settled(components(found))
 
         def root(df: DataFrame, column: str) -> DataFrame:
             own = roots.select(F.col("node").alias(column), F.col("root").alias(f"_{column}"))
@@ -253,15 +253,15 @@ class _Join:
         held = lists.select("token", "unit").join(all_units.select("unit", "center"), "unit").select("token", "center").distinct()
         held = root(held, "center").join(balls, "center")
         mixed = held.groupBy("token").agg(F.min("_center").alias("x"), F.max("_center").alias("y")).where("x <> y").select("token")
-        held = materialize(held.join(mixed, "token", "left_semi"))
+        held = settled(held.join(mixed, "token", "left_semi"))
         left, right = (held.select("token", F.col("center").alias(c), F.col("_center").alias(f"_{c}"), F.col("radius").alias(f"{c}r"), F.col("cn").alias(f"{c}n")) for c in "ab")
         slack = F.lit(self.limit + 1e-9) + F.col("ar") + F.col("br")
         pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
         pairs = pairs.where(1 - F.least("an", "bn") / F.greatest("an", "bn") <= slack).select("a", "b", "ar", "br").distinct()
-        pairs = materialize(pairs)
+        pairs = settled(pairs)
         two = self.tested(pairs, sets)
         found = found.unionByName(two.where("linked").select("a", "b"))
-        doubt = materialize(two.where("not linked").join(pairs, ["a", "b"]).where(F.col("d") <= slack).select("a", "b", "d"))
+        doubt = settled(two.where("not linked").join(pairs, ["a", "b"]).where(F.col("d") <= slack).select("a", "b", "d"))
         if doubt.isEmpty():
             return found
         return found.unionByName(self.expanded(doubt, found, all_units, inside, members, sets))
@@ -274,13 +274,13 @@ class _Join:
         )
         ball = ball.join(members.select("text", "n"), "text")
         ends = doubt.select("a", "b", "d").unionByName(doubt.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        ball = materialize(ball.join(ends.select(F.col("a").alias("center")).distinct(), "center", "left_semi"))
+        ball = settled(ball.join(ends.select(F.col("a").alias("center")).distinct(), "center", "left_semi"))
         room = F.lit(self.limit + 1e-9)
         # every member against the other centre
         cross = ends.join(ball.withColumnRenamed("center", "a"), "a").where(F.col("d") - F.col("delta") <= F.lit(2 * self.limit + 1) * 1.0)
         three = self.tested(cross.where("text <> b").select(F.col("b").alias("a"), F.col("text").alias("b")), sets)
         more = three.where("linked").select("a", "b")
-        roots = materialize(components(found.unionByName(more)))
+        roots = settled(components(found.unionByName(more)))
         label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
         still = label(label(doubt, "a"), "b").where("_a <> _b").select("a", "b")
         x = ball.select(F.col("center").alias("a"), F.col("text").alias("x"), F.col("n").alias("xn"))
@@ -307,11 +307,11 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     members, postings = join.index()
     links = join.links(members, postings)
     roots = components(links)
-    rows = materialize(join.rows.select("_d", "_null", "_tid"))
+    rows = settled(join.rows.select("_d", "_null", "_tid"))
     texts = rows.groupBy("_tid").agg(F.min("_d").alias("_least"), F.count("*").alias("_k"))
     placed = texts.join(members.select(F.col("text").alias("_tid"), F.col("n").cast("long").alias("_n")), "_tid", "left")
     placed = placed.join(roots.select(F.col("node").alias("_tid"), F.col("root").alias("_root")), "_tid", "left")
-    placed = materialize(placed.withColumn("_root", F.coalesce("_root", "_tid")))
+    placed = settled(placed.withColumn("_root", F.coalesce("_root", "_tid")))
     least = placed.groupBy("_root").agg(F.min("_least").alias("_first"), F.count("*").alias("_m"))
     named = attach_groups(placed, least, "_root", "_m", max(1, placed.count())).select("_tid", "_n", "_k", "_first")
     out = attach_groups(rows, named, "_tid", "_k", max(1, rows.count()))
