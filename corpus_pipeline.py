@@ -13,8 +13,7 @@ from faultline.llm import decontaminate, exact_dedup, jaccard_join, packing, tox
 from faultline.llm.common import held_out, materialize, table, without_ids
 from faultline.llm.queries import CAPACITY, END_ID, tokenizer_path
 
-#: SQL can't express the toxicity classifier or the tokenizer; the tests compare
-#: the pipeline with a brute-force version.
+#: SQL can't express the toxicity classifier or the tokenizer.
 ORACLE_SQL: str | None = None
 
 
