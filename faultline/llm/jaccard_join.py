@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,27 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
         yield ids, texts
 
 
+def _unpacked(ids: pa.ChunkedArray, raw: pa.ChunkedArray) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and decompressed texts, some MB at a time."""
+    unpack, keys, texts, size = zstandard.ZstdDecompressor(), [], [], 0
+    for i, blob in zip(ids.to_pylist(), raw, strict=True):
+        keys.append(i)
+        texts.append(unpack.decompress(blob.as_py()))
+        size += len(texts[-1])
+        if size >= 4 << 20:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    owner, token = shingle_sets(texts, n)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [token[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _sketch(rows: DataFrame, n: int, parts: int) -> np.ndarray:
     """How many texts have a shingle of each cell (summed by slices of cells)."""
 
@@ -170,41 +193,52 @@ class _Join:
         postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int"))
         return members, postings
 
-    def sets(self, candidates: DataFrame) -> DataFrame:
-        """text, set (sorted 64-bit hashes) of the candidate texts."""
-        n = self.n
-        shape = pa.schema([("text", pa.int64()), ("set", pa.binary())])
+    def stored(self, candidates: DataFrame) -> DataFrame:
+        """text, raw (compressed whole text) of the candidate texts.
 
-        def build(table: pa.Table, known: pa.Table) -> pa.Table:
-            wanted = set(known.column("text").to_pylist())
-            picked = {i: t.encode() for i, t in zip(table.column("_tid").to_pylist(), table.column("text").to_pylist(), strict=True) if i in wanted} if wanted else {}
-            owner, token = shingle_sets(list(picked.values()), n)
-            cut = np.searchsorted(owner, np.arange(len(picked) + 1))
-            blobs = [token[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.Table.from_arrays([pa.array(list(picked), pa.int64()), pa.array(blobs, pa.binary())], schema=shape)
+        A compressed text is a third of the hashes of its shingles, and each
+        test moves what it compares.
+        """
+
+        def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack = zstandard.ZstdCompressor()
+            for batch in batches:
+                raw = [pack.compress(t.as_py().encode()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["text", "raw"])
 
-        asked = candidates.withColumn("bucket", F.pmod(F.shiftrightunsigned("text", 16), F.lit(self.buckets)).cast("int"))
-        return settled(self.single.select("_tid", "text", "bucket").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(build, "text long, set binary"))
+        packed = self.single.select("_tid", "text").mapInArrow(squeeze, "text long, raw binary")
+        return settled(packed.join(candidates.select(F.col("text").alias("_c")), F.col("text") == F.col("_c"), "left_semi").dropDuplicates(["text"]))
 
-    def tested(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def tested(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, linked, d) for distinct pairs; a may be in very many."""
-        percent, lanes = self.percent, 4 * width(pairs.sparkSession)
+        n, percent, lanes = self.n, self.percent, 4 * width(pairs.sparkSession)
         pairs = settled(pairs.select("a", "b").distinct().withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int")))
-        theirs = pairs.join(sets.withColumnRenamed("text", "b"), "b")
-        pivots = pairs.select("a", "lane").distinct().join(sets.withColumnRenamed("text", "a"), "a")
+        theirs = pairs.join(texts.withColumnRenamed("text", "b"), "b")
+        pivots = pairs.select("a", "lane").distinct().join(texts.withColumnRenamed("text", "a"), "a")
         # columns of their own, as both sides stem from the same tables
         pivots = pivots.select(*[F.col(c).alias(c) for c in pivots.columns])
         shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("d", pa.float64())])
 
         def verify(table: pa.Table, known: pa.Table) -> pa.Table:
-            own = {a: np.frombuffer(s, np.uint64) for a, s in zip(known.column("a").to_pylist(), known.column("set").to_pylist(), strict=True)}
-            linked, d = [], []
-            for a, s in zip(table.column("a").to_pylist(), table.column("set"), strict=True):
-                x, y = own[a], np.frombuffer(s.as_py(), np.uint64)
-                both = int(blocks.in_sorted(y, x)[1].sum())
-                either = len(x) + len(y) - both
-                linked.append(either > 0 and 100 * both >= percent * either)
-                d.append(1 - both / max(either, 1))
+            own: dict[int, np.ndarray] = {}
+            for ids, part in _unpacked(known.column("a"), known.column("raw")):
+                own.update(zip(ids, _sets(part, n), strict=True))
+            order = pc.sort_indices(table.column("b"))
+            table = table.take(order)
+            linked, d, seen = [], [], {}
+            first, near = table.column("a").to_pylist(), table.column("b").to_numpy()
+            new = np.append(True, near[1:] != near[:-1])[: len(near)]
+            once = table.filter(pa.array(new))
+            at = 0
+            for ids, part in _unpacked(once.column("b"), once.column("raw")):
+                seen = dict(zip(ids, _sets(part, n), strict=True))
+                while at < len(near) and near[at] in seen:
+                    x, y = own[first[at]], seen[near[at]]
+                    both = int(blocks.in_sorted(y, x)[1].sum())
+                    either = len(x) + len(y) - both
+                    linked.append(either > 0 and 100 * both >= percent * either)
+                    d.append(1 - both / max(either, 1))
+                    at += 1
             return pa.Table.from_arrays([table.column("a").combine_chunks(), table.column("b").combine_chunks(), pa.array(linked, pa.bool_()), pa.array(d, pa.float64())], schema=shape)
 
         return settled(theirs.groupBy("lane").cogroup(pivots.groupBy("lane")).applyInArrow(verify, "a long, b long, linked boolean, d double"))
@@ -219,10 +253,10 @@ class _Join:
         alike = groups.where("_k > 1").select("gid")
         wanted = postings.select("gid").distinct().unionByName(alike).distinct()
         candidates = settled(members.join(wanted, "gid", "left_semi").select("text"))
-        sets = self.sets(candidates)
+        texts = self.stored(candidates)
 
         led = attach_groups(members, groups, "gid", "_k", total)
-        zero = self.tested(led.where("text <> leader").select(F.col("leader").alias("a"), F.col("text").alias("b")), sets)
+        zero = self.tested(led.where("text <> leader").select(F.col("leader").alias("a"), F.col("text").alias("b")), texts)
         inside = zero.where("linked").select(F.col("b").alias("text"), F.col("a").alias("unit"), F.col("d").alias("d0"))
         apart = zero.where("not linked").select(F.col("b").alias("text"))
         units = members.join(groups.select(F.col("leader").alias("text")).unionByName(apart), "text", "left_semi").select(F.col("text").alias("unit"), "gid", "n")
@@ -234,7 +268,7 @@ class _Join:
         with_pivot = attach_groups(lists, tops, "token", "_k", max(1, lists.count())).select("unit", "n", "_p.pivot", "_p.pn")
         shared = with_pivot.where((F.col("unit") != F.col("pivot")) & self.near("n", "pn")).groupBy("unit", "pivot").agg(F.count("*").alias("c"))
         best = shared.groupBy("unit").agg(F.max(F.struct("c", "pivot"))["pivot"].alias("pivot"))
-        one = self.tested(best.select(F.col("pivot").alias("a"), F.col("unit").alias("b")), sets)
+        one = self.tested(best.select(F.col("pivot").alias("a"), F.col("unit").alias("b")), texts)
         close = one.where("linked").select(F.col("b").alias("unit"), F.col("a").alias("center"), F.col("d").alias("d1"))
 
         all_units = units.join(close, "unit", "left").select("unit", "n", F.coalesce("center", "unit").alias("center"), F.coalesce("d1", F.lit(0.0)).alias("d1"))
@@ -259,14 +293,14 @@ class _Join:
         pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
         pairs = pairs.where(1 - F.least("an", "bn") / F.greatest("an", "bn") <= slack).select("a", "b", "ar", "br").distinct()
         pairs = settled(pairs)
-        two = self.tested(pairs, sets)
+        two = self.tested(pairs, texts)
         found = found.unionByName(two.where("linked").select("a", "b"))
         doubt = settled(two.where("not linked").join(pairs, ["a", "b"]).where(F.col("d") <= slack).select("a", "b", "d"))
         if doubt.isEmpty():
             return found
-        return found.unionByName(self.expanded(doubt, found, all_units, inside, members, sets))
+        return found.unionByName(self.expanded(doubt, found, all_units, inside, members, texts))
 
-    def expanded(self, doubt: DataFrame, found: DataFrame, units: DataFrame, inside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    def expanded(self, doubt: DataFrame, found: DataFrame, units: DataFrame, inside: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
         """Links between the members of balls whose centres don't exclude them."""
         own = units.select("unit", "center", "d1")
         ball = own.select(F.col("unit").alias("text"), "center", F.col("d1").alias("delta")).unionByName(
@@ -278,7 +312,7 @@ class _Join:
         room = F.lit(self.limit + 1e-9)
         # every member against the other centre
         cross = ends.join(ball.withColumnRenamed("center", "a"), "a").where(F.col("d") - F.col("delta") <= F.lit(2 * self.limit + 1) * 1.0)
-        three = self.tested(cross.where("text <> b").select(F.col("b").alias("a"), F.col("text").alias("b")), sets)
+        three = self.tested(cross.where("text <> b").select(F.col("b").alias("a"), F.col("text").alias("b")), texts)
         more = three.where("linked").select("a", "b")
         roots = settled(components(found.unionByName(more)))
         label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
@@ -289,7 +323,7 @@ class _Join:
         y = ball.select(F.col("center").alias("b"), F.col("text").alias("y"), F.col("n").alias("yn"), F.col("delta").alias("dy"))
         pairs = x.join(y, "b").where(self.near("xn", "yn") & (F.coalesce("dx", F.lit(0.0)) - F.col("dy") <= room) & (F.col("x") != F.col("y")))
         pairs = label(label(pairs.select("x", "y").distinct(), "x"), "y").where("_x <> _y")
-        four = self.tested(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), sets)
+        four = self.tested(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), texts)
         return more.unionByName(four.where("linked").select("a", "b"))
 
 
