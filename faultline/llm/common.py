@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shuffle files of a plan go when it ends; a checkpoint needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder the cluster names.
 
@@ -25,7 +29,13 @@ def materialize(df: DataFrame) -> DataFrame:
         if not where:
             where = os.path.join(tempfile.gettempdir(), "faultline-checkpoints")
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        fresh = df.select("*")  # a plan that has not run yet, which sees the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return fresh.checkpoint(eager=True)
 
 
 def settled(df: DataFrame) -> DataFrame:
