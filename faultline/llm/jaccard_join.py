@@ -7,7 +7,8 @@ prefix and size form one group, and only groups enter the posting lists.
 
 No list emits all of its pairs.  Members are tested against their group's
 leader, and each group against one pivot of the lists it shares; what is linked
-joins the ball of that centre.  Pairs of centres that share a list are tested.
+joins the ball of that centre.  Pairs of centres that share a list, with the
+shingle so early in both that what follows can be enough, are tested.
 The Jaccard distance is a metric, so two balls whose centres are further apart
 than the radii allow hold no link and are never expanded; others are expanded
 and their members verified.  Pairs that are connected already need no test.
@@ -115,8 +116,9 @@ def _sketch(rows: DataFrame, n: int, parts: int) -> np.ndarray:
     return np.concatenate([got.get(i, np.zeros(len(p), np.uint8)) for i, p in enumerate(np.array_split(np.zeros(1 << SKETCH_BITS, np.uint8), parts))])
 
 
-def _prefixes(ids: list[int], texts: list[bytes], n: int, percent: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes and group keys of the texts; owners and tokens of the prefixes."""
+def _prefixes(ids: list[int], texts: list[bytes], n: int, percent: int, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sizes and group keys of the texts; owners, tokens and places (in 256ths of
+    the prefix) of the prefixes."""
     owner, token = shingle_sets(texts, n)
     size = np.bincount(owner, minlength=len(texts))
     order = np.lexsort((token, level[_cells(token)], owner))
@@ -132,7 +134,7 @@ def _prefixes(ids: list[int], texts: list[bytes], n: int, percent: int, level: n
     group = np.zeros(len(texts), np.uint64)
     np.add.at(group, owner, mixed)
     group = blocks.scramble(group + size.astype(np.uint64))
-    return size, group.view(np.int64), owner, token
+    return size, group.view(np.int64), owner, token, (place * np.uint64(256) // per[owner].astype(np.uint64)).astype(np.uint8)
 
 
 class _Join:
@@ -143,54 +145,58 @@ class _Join:
         self.single = self.rows.where(F.col("_rep").isNull() | (F.col("_rep") == F.col("_d")))
 
     def index(self) -> tuple[DataFrame, DataFrame]:
-        """members(text, gid, n) and postings(token, gid, n) of shared tokens."""
+        """members(text, gid, n) and postings(token, gid, n, left) of shared tokens;
+        at most ``left`` shingles follow from the token on, itself included."""
         n, percent, parts = self.n, self.percent, self.parts
         level = self.single.sparkSession.sparkContext.broadcast(_sketch(self.single, n, parts))
-        names = ["part", "gid", "size", "times", "keys", "text"]
-        types = [pa.int32(), *[pa.binary()] * 5]
+        names = ["part", "gid", "size", "times", "keys", "places", "text"]
+        types = [pa.int32(), *[pa.binary()] * 6]
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for ids, texts in _slices(batch):
-                    size, gid, owner, token = _prefixes(ids, texts, n, percent, level.value)
+                    size, gid, owner, token, place = _prefixes(ids, texts, n, percent, level.value)
                     some = size > 0
-                    out = [(-1, gid[some].tobytes(), size[some].astype("<u4").tobytes(), None, None, np.array(ids, np.int64)[some].tobytes())]
+                    out = [(-1, gid[some].tobytes(), size[some].astype("<u4").tobytes(), None, None, None, np.array(ids, np.int64)[some].tobytes())]
                     part, key = repeats._stored(token, parts)
                     order = np.lexsort((owner, part))
-                    part, key, owner = part[order], key[order], owner[order]
+                    part, key, owner, place = part[order], key[order], owner[order], place[order]
                     cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
                     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                         own, times = np.unique(owner[s:e], return_counts=True)
-                        out.append((int(part[s]), gid[own].tobytes(), size[own].astype("<u4").tobytes(), times.astype("<u4").tobytes(), repeats._pack_keys(key[s:e]), None))
+                        out.append((int(part[s]), gid[own].tobytes(), size[own].astype("<u4").tobytes(), times.astype("<u4").tobytes(), repeats._pack_keys(key[s:e]), place[s:e].tobytes(), None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
         def shared(table: pa.Table) -> pa.Table:
             part = table.column("part")[0].as_py()
-            key, gid, size = [], [], []
-            for g, s, t, k in zip(*(table.column(c).to_pylist() for c in ("gid", "size", "times", "keys")), strict=True):
+            key, gid, size, place = [], [], [], []
+            for g, s, t, k, p in zip(*(table.column(c).to_pylist() for c in ("gid", "size", "times", "keys", "places")), strict=True):
                 times = np.frombuffer(t, "<u4")
                 gid.append(np.repeat(np.frombuffer(g, np.int64), times))
                 size.append(np.repeat(np.frombuffer(s, "<u4"), times))
                 key.append(repeats._unpack_keys(k))
-            key, gid, size = np.concatenate(key), np.concatenate(gid), np.concatenate(size)
-            order = np.lexsort((gid, key))
-            key, gid, size = key[order], gid[order], size[order]
+                place.append(np.frombuffer(p, np.uint8))
+            key, gid, size, place = np.concatenate(key), np.concatenate(gid), np.concatenate(size), np.concatenate(place)
+            order = np.lexsort((place, gid, key))
+            key, gid, size, place = key[order], gid[order], size[order], place[order]
             new = np.append(True, (key[1:] != key[:-1]) | (gid[1:] != gid[:-1]))
-            key, gid, size = key[new], gid[new], size[new]
+            key, gid, size, place = key[new], gid[new], size[new].astype(np.int64), place[new].astype(np.int64)
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             times = np.diff(np.append(first, len(key)))
             many = np.repeat(times > 1, times)
+            prefix = size - (percent * size + 99) // 100 + 1
+            left = size - (place * prefix + 255) // 256
             token = (key * np.uint64(parts) + np.uint64(part)).astype(np.int64)
-            return pa.Table.from_arrays([pa.array(token[many]), pa.array(gid[many]), pa.array(size[many].astype(np.int32))], ["token", "gid", "n"])
+            return pa.Table.from_arrays([pa.array(token[many]), pa.array(gid[many]), pa.array(size[many].astype(np.int32)), pa.array(left[many].astype(np.int32))], ["token", "gid", "n", "left"])
 
         def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for g, s, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(s, "<u4").astype(np.int32))], ["text", "gid", "n"])
 
-        sent = settled(self.single.select("_tid", "text").mapInArrow(send, "part int, gid binary, size binary, times binary, keys binary, text binary"))
+        sent = settled(self.single.select("_tid", "text").mapInArrow(send, "part int, gid binary, size binary, times binary, keys binary, places binary, text binary"))
         members = settled(sent.where("part = -1").select("gid", "size", "text").mapInArrow(unfold, "text long, gid long, n int").distinct())
-        postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int"))
+        postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int, left int"))
         return members, postings
 
     def stored(self, candidates: DataFrame) -> DataFrame:
@@ -260,10 +266,12 @@ class _Join:
         inside = zero.where("linked").select(F.col("b").alias("text"), F.col("a").alias("unit"), F.col("d").alias("d0"))
         apart = zero.where("not linked").select(F.col("b").alias("text"))
         units = members.join(groups.select(F.col("leader").alias("text")).unionByName(apart), "text", "left_semi").select(F.col("text").alias("unit"), "gid", "n")
-        lists = settled(postings.select("token", "gid").join(units, "gid").select("token", "unit", "n").unionByName(
-            units.join(alike, "gid", "left_semi").select(F.col("gid").alias("token"), "unit", "n")))
+        lists = settled(postings.select("token", "gid", "left").join(units, "gid").select("token", "unit", "n", "left").unionByName(
+            units.join(alike, "gid", "left_semi").select(F.col("gid").alias("token"), "unit", "n", F.col("n").alias("left"))))
 
-        rank = F.struct(F.xxhash64("unit").alias("r"), F.col("unit").alias("pivot"), F.col("n").alias("pn"))
+        # the pivot has the shingle earliest: of copies with changes, which give
+        # rare shingles, the one with the fewest
+        rank = F.struct((F.col("n") - F.col("left")).alias("p"), F.xxhash64("unit").alias("r"), F.col("unit").alias("pivot"), F.col("n").alias("pn"))
         tops = lists.groupBy("token").agg(F.min(rank).alias("_p"), F.count("*").alias("_k"))
         with_pivot = attach_groups(lists, tops, "token", "_k", max(1, lists.count())).select("unit", "n", "_p.pivot", "_p.pn")
         shared = with_pivot.where((F.col("unit") != F.col("pivot")) & self.near("n", "pn")).groupBy("unit", "pivot").agg(F.count("*").alias("c"))
@@ -274,44 +282,55 @@ class _Join:
         all_units = units.join(close, "unit", "left").select("unit", "n", F.coalesce("center", "unit").alias("center"), F.coalesce("d1", F.lit(0.0)).alias("d1"))
         reach = inside.groupBy("unit").agg(F.max("d0").alias("r0"))
         all_units = settled(all_units.join(reach, "unit", "left").withColumn("r0", F.coalesce("r0", F.lit(0.0))))
-        radius = all_units.groupBy("center").agg(F.max(F.col("d1") + F.col("r0")).alias("radius"))
+        radius = all_units.groupBy("center").agg(F.max(F.col("d1") + F.col("r0")).alias("radius"), F.min("n").alias("lo"))
         size = units.select(F.col("unit").alias("center"), F.col("n").alias("cn"))
         balls = settled(radius.join(size, "center"))
         found = zero.where("linked").select("a", "b").unionByName(one.where("linked").select("a", "b"))
         roots = settled(components(found))
 
-        def root(df: DataFrame, column: str) -> DataFrame:
+        def root(df: DataFrame, column: str, roots: DataFrame = roots) -> DataFrame:
             own = roots.select(F.col("node").alias(column), F.col("root").alias(f"_{column}"))
             return df.join(own, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
 
-        held = lists.select("token", "unit").join(all_units.select("unit", "center"), "unit").select("token", "center").distinct()
+        held = lists.select("token", "unit", "left").join(all_units.select("unit", "center"), "unit").groupBy("token", "center").agg(F.max("left").alias("left"))
         held = root(held, "center").join(balls, "center")
         mixed = held.groupBy("token").agg(F.min("_center").alias("x"), F.max("_center").alias("y")).where("x <> y").select("token")
         held = settled(held.join(mixed, "token", "left_semi"))
-        left, right = (held.select("token", F.col("center").alias(c), F.col("_center").alias(f"_{c}"), F.col("radius").alias(f"{c}r"), F.col("cn").alias(f"{c}n")) for c in "ab")
-        slack = F.lit(self.limit + 1e-9) + F.col("ar") + F.col("br")
+        facts = ("radius", "cn", "lo", "left")
+        left, right = (held.select("token", F.col("center").alias(c), F.col("_center").alias(f"_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in facts]) for c in "ab")
         pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
-        pairs = pairs.where(1 - F.least("an", "bn") / F.greatest("an", "bn") <= slack).select("a", "b", "ar", "br").distinct()
+        # of what links, the first common shingle is early enough in both texts
+        percent = self.percent
+        pairs = pairs.where((100 + percent) * F.least("a_left", "b_left") >= percent * (F.col("a_lo") + F.col("b_lo")))
+        pairs = pairs.withColumnsRenamed({"a_radius": "ar", "b_radius": "br"})
+        slack = F.lit(self.limit + 1e-9) + F.col("ar") + F.col("br")
+        pairs = pairs.where(1 - F.least("a_cn", "b_cn") / F.greatest("a_cn", "b_cn") <= slack).select("a", "b", "ar", "br").distinct()
         pairs = settled(pairs)
         two = self.tested(pairs, texts)
         found = found.unionByName(two.where("linked").select("a", "b"))
         doubt = settled(two.where("not linked").join(pairs, ["a", "b"]).where(F.col("d") <= slack).select("a", "b", "d"))
         if doubt.isEmpty():
             return found
-        return found.unionByName(self.expanded(doubt, found, all_units, inside, members, texts))
+        roots = settled(components(found))
+        doubt = settled(root(root(doubt, "a", roots), "b", roots).where("_a <> _b").select("a", "b", "d"))
+        return found.unionByName(self.expanded(doubt, found, all_units, inside, members, texts, lists, held))
 
-    def expanded(self, doubt: DataFrame, found: DataFrame, units: DataFrame, inside: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links between the members of balls whose centres don't exclude them."""
+    def expanded(self, doubt: DataFrame, found: DataFrame, units: DataFrame, inside: DataFrame, members: DataFrame, texts: DataFrame, lists: DataFrame, held: DataFrame) -> DataFrame:
+        """Links between the members of balls whose centres don't exclude them; of
+        each ball only members with a shingle that the other has, both early."""
         own = units.select("unit", "center", "d1")
-        ball = own.select(F.col("unit").alias("text"), "center", F.col("d1").alias("delta")).unionByName(
-            inside.join(own, "unit").select("text", "center", (F.col("d0") + F.col("d1")).alias("delta"))
+        ball = own.select(F.col("unit").alias("text"), "unit", "center", F.col("d1").alias("delta")).unionByName(
+            inside.join(own, "unit").select("text", "unit", "center", (F.col("d0") + F.col("d1")).alias("delta"))
         )
         ball = ball.join(members.select("text", "n"), "text")
         ends = doubt.select("a", "b", "d").unionByName(doubt.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         ball = settled(ball.join(ends.select(F.col("a").alias("center")).distinct(), "center", "left_semi"))
         room = F.lit(self.limit + 1e-9)
-        # every member against the other centre
-        cross = ends.join(ball.withColumnRenamed("center", "a"), "a").where(F.col("d") - F.col("delta") <= F.lit(2 * self.limit + 1) * 1.0)
+        # the members against the other centre
+        theirs = ends.join(held.select(F.col("center").alias("b"), "token", F.col("left").alias("bl"), F.col("lo").alias("bn")), "b").select("a", "b", "token", "bl", "bn")
+        ours = lists.join(own.select("unit", F.col("center").alias("a")), "unit").join(ends.select("a").distinct(), "a", "left_semi").select("a", "token", "unit", "left", "n")
+        early = theirs.join(ours, ["a", "token"]).where((100 + self.percent) * F.least("left", "bl") >= self.percent * (F.col("n") + F.col("bn")))
+        cross = early.select("unit", "b").distinct().join(ball.select("unit", "text"), "unit")
         three = self.tested(cross.where("text <> b").select(F.col("b").alias("a"), F.col("text").alias("b")), texts)
         more = three.where("linked").select("a", "b")
         roots = settled(components(found.unionByName(more)))
@@ -319,9 +338,10 @@ class _Join:
         still = label(label(doubt, "a"), "b").where("_a <> _b").select("a", "b")
         x = ball.select(F.col("center").alias("a"), F.col("text").alias("x"), F.col("n").alias("xn"))
         far = three.select(F.col("a").alias("b"), F.col("b").alias("x"), F.col("d").alias("dx"))
-        x = still.join(x, "a").join(far, ["b", "x"], "left")
+        x = still.join(x, "a").join(far, ["b", "x"])
         y = ball.select(F.col("center").alias("b"), F.col("text").alias("y"), F.col("n").alias("yn"), F.col("delta").alias("dy"))
-        pairs = x.join(y, "b").where(self.near("xn", "yn") & (F.coalesce("dx", F.lit(0.0)) - F.col("dy") <= room) & (F.col("x") != F.col("y")))
+        y = y.join(far.select(F.col("b").alias("a"), F.col("x").alias("y")), "y")
+        pairs = x.join(y, ["a", "b"]).where(self.near("xn", "yn") & (F.col("dx") - F.col("dy") <= room) & (F.col("x") != F.col("y")))
         pairs = label(label(pairs.select("x", "y").distinct(), "x"), "y").where("_x <> _y")
         four = self.tested(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), texts)
         return more.unionByName(four.where("linked").select("a", "b"))
