@@ -12,6 +12,7 @@ rank of each piece among those of its length.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,17 +25,29 @@ from .common import materialize, slim, width
 
 _ENCODERS: dict[str, object] = {}
 _CACHED_WORDS = 600_000
+_OLD = unicodedata.ucd_3_2_0
 #: Texts are encoded so many characters at a time.
 _BLOCK_CHARS = 2_000_000
 
 
+def _plain(core: str) -> bool:
+    """Whether the word is letters in the normal form too, by the letters of an
+    old Unicode version, which every later one has."""
+    if core.isascii():
+        return core.isalpha()
+    lowered = unicodedata.normalize("NFC", core).lower()
+    return core.isalpha() and all(_OLD.category(c)[0] == "L" for c in lowered)
+
+
 class _Encoder:
     """Ids of whole texts as little-endian bytes, through a bounded word cache.
 
     The tokenizer drops white space and never joins across it, so the words
     between ASCII blanks can be encoded apart and their ids remembered.  A full
-    stop or comma after letters is a token of its own.  Unknown words of letters
-    only go to the tokenizer in one string, whose ids are cut where a word ends.
+    stop or comma after letters is a token of its own if they are still letters
+    in the tokenizer's normal form: where this has a combining mark, the two are
+    one.  Unknown words of such letters only go to the tokenizer in one string,
+    whose ids are cut where a word ends; all others go whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,7 +86,7 @@ class _Encoder:
         known, cores, split, fresh, odd = self.known, self.cores, [], set(), []
         for w in words:
             core, mark = (w[:-1], w[-1]) if w[-1:] in self.marks else (w, "")
-            if core.isalpha():
+            if _plain(core):
                 if core.isascii():
                     core = core.lower()
                 split.append((w, core, mark))
