@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages, each one operator on what the one before kept.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``.  ``run`` applies them in order to the documents table.
+``documents``.  Verdicts hold for single rows, by id and text: ids may be null or
+repeat.  A null id counts as the largest; rows of the id that stays all stay.
+``run`` applies the stages in order to the documents table.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from faultline.llm.common import held_out, materialize, table, without_ids
+from faultline.llm.common import held_out, materialize, table, without_rows
 from faultline.llm.queries import CAPACITY, END_ID, tokenizer_path
 
 #: SQL can't express the toxicity classifier or the tokenizer.
@@ -29,7 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the smallest doc_id stays."""
-    return without_ids(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+    gone = exact_dedup.exact_duplicates(docs).where("not kept").withColumn("text_key", F.xxhash64("text_sha256"))
+    return without_rows(docs, gone, exact_dedup.text_key(F.col("text")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +40,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts link from a Jaccard similarity of 0.8 of their five-word shingles on.
     """
-    near = jaccard_join.similar_components(docs, n=SHINGLE_WORDS, percent=NEAR_PERCENT)
-    return without_ids(docs, near.where(F.col("doc_id") != F.col("component_id")))
+    near = jaccard_join.similar_components(docs, n=SHINGLE_WORDS, percent=NEAR_PERCENT, keyed=True)
+    gone = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without_rows(docs, gone, jaccard_join.text_key(F.col("text")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    return without_ids(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True)
+    return without_rows(docs, found.where("contaminated"), decontaminate.text_key(F.col("text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,9 +93,12 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
 BROADCAST_IDS = 500_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``ids``; rows with a null
-    id stay.  The ids are broadcast only if there are few, by count."""
-    gone = materialize(ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` that are not among ``gone(doc_id, text_key)``, where
+    ``key`` is the text_key of a row of ``docs``.  A null id is an id like any
+    other; rows that share an id are told apart by their keys.  ``gone`` is
+    broadcast only if it is small, by count."""
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct())
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (key == F.col("_gone_key"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

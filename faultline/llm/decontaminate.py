@@ -95,16 +95,22 @@ def _aligned(items: DataFrame, docs: DataFrame, span: int, k: int) -> DataFrame:
     return out.distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, spans (array of hit runs: start, end in words), items.
 
     A null text has no words; items without words can't be hit, items shorter
     than ``span`` words must occur whole.  Repeated rows each get their result;
     no rows give no rows; an empty benchmark hits nothing; other columns are
-    ignored.  Ids may be null (a null item_id hits, but isn't listed).
+    ignored.  Ids may be null (a null item_id hits, but isn't listed).  If
+    ``keyed``, text_key is the row's ``text_key(text)``.
     """
-    base = docs.select(docs["doc_id"], docs["text"]).withColumn("_th", F.xxhash64("text"))
+    base = docs.select(docs["doc_id"], docs["text"]).withColumn("_th", text_key(F.col("text")))
     worded = base.select("doc_id", "_th", words_of(F.col("text")).alias("_w"))
     key = F.sha2(F.concat_ws("\u0000", F.col("item_id").cast("string"), F.col("text")), 256)
     items = benchmark.select(benchmark["item_id"], benchmark["text"]).select(key.alias("_ik"), "item_id", words_of(F.col("text")).alias("_w"))
@@ -149,4 +155,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         "doc_id", "n_words", F.coalesce(F.col("n_hit").cast("long"), F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        *[F.col("_th").alias("text_key")] * keyed,
     )

@@ -64,6 +64,11 @@ def recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64
     return listed.select("doc_id", F.transform("_l", lambda x: x["i"]).alias("recipe"), "text_sha256")
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart: a hash of text_sha256."""
+    return F.xxhash64(F.sha2(normalized(text), 256))
+
+
 def exact_duplicates(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, repeats
@@ -347,7 +347,12 @@ class _Join:
         return more.unionByName(four.where("linked").select("a", "b"))
 
 
-def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart: the identifier of a text in the join."""
+    return F.xxhash64(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -355,7 +360,7 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     is one shingle).  Null texts and texts without words have no shingles and no
     links.  ``component_id`` is the smallest doc_id reachable by links; a null
     id counts as the largest.  Repeated rows stay; other columns are ignored; no
-    rows give no rows.
+    rows give no rows.  If ``keyed``, text_key is the row's ``text_key(text)``.
     """
     join = _Join(docs, n, percent)
     members, postings = join.index()
@@ -372,5 +377,5 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     own = F.when(F.col("_n").isNull(), F.col("_d")).otherwise(F.col("_first"))
     return out.select(
         F.when(~F.col("_null"), F.col("_d")).alias("doc_id"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_shingles"),
-        F.nullif(own, F.lit(repeats.NO_ID)).alias("component_id"),
+        F.nullif(own, F.lit(repeats.NO_ID)).alias("component_id"), *[F.col("_tid").alias("text_key")] * keyed,
     )
