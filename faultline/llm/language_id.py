@@ -159,14 +159,14 @@ def predict_batch(model: LanguageModel | None, texts: list[str | None]) -> tuple
 
 
 def training_sample(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> list[tuple[int, str, str]]:
-    """About ``per_language`` rows of each language, by a hash of the id."""
+    """About ``per_language`` rows of each language there is, by a hash of the id."""
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count")).limit(512).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, per_language / n)))])
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in counts.items()], "lang string, _share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
-    rows = usable.where(draw < F.get(F.array(share[F.col("lang")]), F.lit(0)))
+    rows = usable.join(F.broadcast(shares), "lang").where(draw < F.col("_share")).select("doc_id", "text", "lang")
     return [tuple(r) for r in rows.limit(2 * per_language * len(counts)).collect()]
 
 
