@@ -106,7 +106,8 @@ def indexed_targets(queries: DataFrame, stores: DataFrame) -> DataFrame:
 
 def function_targets(nodes: DataFrame, expr: DataFrame, literals: DataFrame, named: DataFrame, stores: DataFrame) -> DataFrame:
     """(node, label): functions an expression may denote: a literal itself, a
-    named function or method value, what is stored in a variable or returned."""
+    named function or method value, what is stored in a variable.  What a call
+    returns is not followed: there are no facts about returns."""
     direct = literals.select("node", "label").unionByName(nodes.join(named.select(F.col("obj").alias("object"), F.col("function").alias("label")), "object").select("node", "label"))
     held = nodes.join(stores.select(F.col("obj").alias("object"), F.col("target").alias("label")), "object").select("node", "label")
     return carried(expr, direct.unionByName(held).distinct())
@@ -170,7 +171,8 @@ def dependency_fallback(calls: DataFrame, traced: DataFrame, methods: DataFrame)
 
 def trace_calls(roots: DataFrame, body_calls: DataFrame, methods: DataFrame, packages: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(root, pkg, method): concrete methods reached from a traced call, under
-    their own package and every package on the way.
+    their own package and every package on the way.  Only calls of interface
+    methods are followed, with the receiver's type and no other argument.
 
     A work list of (root, function, receiver type, packages on the way): each
     round joins the newest states with ``body_calls(function, name, keeps)`` of
