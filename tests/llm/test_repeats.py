@@ -24,6 +24,12 @@ def rows():
             t = t[: len(t) // 2] + " " + shared[s : s + rng.randint(60, 500)] + " " + t[len(t) // 2 :]
         texts.append(t)
     texts += [texts[3], texts[3], texts[6] + " x", None, "", "a" * 200, "a" * 90, "ab \x00" * 40, " ".join(["w"] * 130), " ".join(["w"] * 70)]
+    # two words of 1024 bytes that polynomials modulo a power of two can't tell apart
+    morse = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+    texts += [" ".join([f"q{i}" for i in range(49)] + [m]) for m in morse]
+    # one repeated passage in many texts, in part and in different parts
+    texts += [" ".join(f"p{j}" for j in range(s, s + 80)) + " " + word() for s in (0, 30, 10, 60, 0, 25)]
+    texts += [" ".join(["x y"] * 90), " ".join(["y x"] * 70), "z " + " ".join(["x y"] * 40)]
     out = [(i, t, "en", "x") for i, t in enumerate(texts)]
     out += [(7, texts[9], None, None), (5, texts[5], None, None), (None, texts[3], None, None), (None, shared, None, None)]
     rng.shuffle(out)
@@ -67,6 +73,14 @@ def test_words(spark, rows):
     assert got == sorted(want)
 
 
+def test_words_of_a_colliding_hash_stay():
+    docs = [[b"w%d" % i for i in range(60)], [b"v%d" % i for i in range(60)]]
+    passage = tuple(docs[0][:50])
+    masks = substring_dedup.locate(docs, [(passage, 1)], [5, 6])
+    assert masks[0].tolist() == [True] * 50 + [False] * 10 and not masks[1].any()
+    assert not substring_dedup.locate(docs, [(passage, 5)], [5, 6])[0].any()
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.remove_repeats(none).count() == substring_dedup.remove_repeats(none).count() == 0
