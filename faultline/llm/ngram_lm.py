@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, repeats
 from .common import materialize, width
 
 #: The hash that stands for the end of a text.
@@ -155,8 +155,8 @@ def score(docs: DataFrame, train: Column, model: LogBloom = LogBloom()) -> DataF
     give no rows.  Words are told apart by a 64-bit hash.
     """
     spark = docs.sparkSession
-    n = width(spark)
-    buckets, parts = 2 * n, n  # messages: one for each pair of a bucket and a range
+    buckets, parts = repeats.sizes(docs)  # messages: one for each pair of a bucket and a range
+    buckets = max(2 * width(spark), buckets // 2)
     # rows of one text are spread by id and text; the bucket's size doesn't depend on any key
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"), (~train).alias("_out"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))

@@ -198,7 +198,13 @@ class Recurring:
         return blocks.in_sorted(stored * np.uint64(self.parts) + part.astype(np.uint64), self.keys)[1]
 
 
+#: Text of a bucket and of a range of keys, in bytes, once there are many.
+_BUCKET_BYTES, _RANGE_BYTES = 64 << 20, 256 << 20
+
+
 def sizes(docs: DataFrame) -> tuple[int, int]:
-    """Buckets of texts and ranges of keys, from the session's parallelism."""
+    """Buckets of texts and ranges of keys, from the bytes of all texts and at
+    least the session's parallelism, so that none grows with the data."""
     n = width(docs.sparkSession)
-    return 4 * n, n
+    total = docs.select(F.octet_length(docs["text"]).cast("long").alias("_b")).agg(F.coalesce(F.sum("_b"), F.lit(0))).first()[0]
+    return max(4 * n, total // _BUCKET_BYTES), max(n, total // _RANGE_BYTES)
