@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +24,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, single machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    temporary folder takes its place on a local master; on a cluster, whose
+    machines don't share one, that is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             where = os.path.join(tempfile.gettempdir(), "faultline-checkpoints")
         spark.sparkContext.setCheckpointDir(where)
     before = spark.conf.get(_CLEANUP, "false")
@@ -49,6 +56,27 @@ def settled(df: DataFrame) -> DataFrame:
     return DataFrame(fresh, spark)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A map over batches after which the worker, which Spark may keep for other
+    stages, gives the memory it used back to the system."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def width(spark: SparkSession) -> int:
     """The parallelism the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -98,7 +126,8 @@ def without_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     ``key`` is the text_key of a row of ``docs``.  A null id is an id like any
     other; rows that share an id are told apart by their keys.  ``gone`` is
     broadcast only if it is small, by count."""
-    gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct())
+    mark = next(n for i in range(len(docs.columns) + 1) if f"{(n := f'_gone{i}')}_id" not in docs.columns and f"{n}_key" not in docs.columns)
+    gone = materialize(gone.select(F.col("doc_id").alias(f"{mark}_id"), F.col("text_key").alias(f"{mark}_key")).distinct())
     few = gone.count() <= BROADCAST_IDS
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (key == F.col("_gone_key"))
+    same = docs["doc_id"].eqNullSafe(gone[f"{mark}_id"]) & (key == gone[f"{mark}_key"])
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -22,15 +22,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, repeats
-from .common import attach_groups, settled, width
+from .common import attach_groups, give_back, released, settled, width
 from .components import components
 
 #: Counters of the sketch that orders shingles.
 SKETCH_BITS = 20
+#: Slices of the sketch, and how many tasks' counts of one are summed at once.
+_SLICES, _TASKS_A_SUM = 64, 256
+#: Texts are handled so many bytes at a time.
+_SLICE_BYTES = 2 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,7 +70,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
         ids.append(i)
         texts.append(raw)
         size += len(raw)
-        if size >= 4 << 20:
+        if size >= _SLICE_BYTES:
             yield ids, texts
             ids, texts, size = [], [], 0
     if ids:
@@ -79,7 +84,7 @@ def _unpacked(ids: pa.ChunkedArray, raw: pa.ChunkedArray) -> Iterator[tuple[list
         keys.append(i)
         texts.append(unpack.decompress(blob.as_py()))
         size += len(texts[-1])
-        if size >= 4 << 20:
+        if size >= _SLICE_BYTES:
             yield keys, texts
             keys, texts, size = [], [], 0
     if keys:
@@ -93,27 +98,42 @@ def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [token[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _sketch(rows: DataFrame, n: int, parts: int) -> np.ndarray:
-    """How many texts have a shingle of each cell (summed by slices of cells)."""
+def _sketch(rows: DataFrame, n: int) -> np.ndarray:
+    """The logarithm of how many texts have a shingle of each cell, summed by
+    slices of cells and, in each, some hundred tasks at a time."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, texts in _slices(batch):
-                total += np.bincount(_cells(shingle_sets(texts, n)[1]), minlength=len(total))
-        pieces = np.array_split(total, parts)
-        blobs = [p.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for p in pieces]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
+                np.add.at(total, _cells(shingle_sets(texts, n)[1]), 1)
+        lane = TaskContext.get().partitionId() // _TASKS_A_SUM
+        blobs = [_planes(p) for p in np.array_split(total, _SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([lane] * _SLICES, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "lane", "blob"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel() for b in table.column("blob").to_pylist())
-        level = np.zeros(len(total), np.uint8)
-        level[total > 0] = np.floor(np.log2(total[total > 0])).astype(np.uint8)
-        return pa.Table.from_arrays([table.column("slice")[:1], pa.array([level.tobytes()], pa.binary())], ["slice", "blob"])
+        total = sum(_counts(b.as_py()) for b in table.column("blob"))
+        return pa.Table.from_arrays([table.column("slice")[:1], pa.array([_planes(total)], pa.binary())], ["slice", "blob"])
 
-    sums = rows.select("_tid", "text").mapInArrow(count, "slice int, blob binary").groupBy("slice").applyInArrow(add, "slice int, blob binary")
-    got = {r[0]: np.frombuffer(r[1], np.uint8) for r in sums.collect()}  # 2^SKETCH_BITS bytes in all
-    return np.concatenate([got.get(i, np.zeros(len(p), np.uint8)) for i, p in enumerate(np.array_split(np.zeros(1 << SKETCH_BITS, np.uint8), parts))])
+    sums = rows.select("_tid", "text").mapInArrow(count, "slice int, lane int, blob binary")
+    for keys in (["slice", "lane"], ["slice"]):  # a sum takes so many tasks, or so many sums
+        sums = sums.groupBy(*keys).applyInArrow(add, "slice int, blob binary")
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for (i, blob), cells in ((r, np.array_split(total, _SLICES)[r[0]]) for r in sums.collect()):  # 2^SKETCH_BITS numbers in all
+        cells[:] = _counts(blob)
+    level = np.zeros(len(total), np.uint8)
+    level[total > 0] = np.floor(np.log2(total[total > 0])).astype(np.uint8)
+    return level
+
+
+def _planes(counts: np.ndarray) -> bytes:
+    """Byte plane by byte plane, so that the shuffle's compression removes the empty ones."""
+    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel().astype(np.int64)
 
 
 def _prefixes(ids: list[int], texts: list[bytes], n: int, percent: int, level: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,10 +168,11 @@ class _Join:
         """members(text, gid, n) and postings(token, gid, n, left) of shared tokens;
         at most ``left`` shingles follow from the token on, itself included."""
         n, percent, parts = self.n, self.percent, self.parts
-        level = self.single.sparkSession.sparkContext.broadcast(_sketch(self.single, n, parts))
+        level = self.single.sparkSession.sparkContext.broadcast(_sketch(self.single, n))
         names = ["part", "gid", "size", "times", "keys", "places", "text"]
         types = [pa.int32(), *[pa.binary()] * 6]
 
+        @released
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for ids, texts in _slices(batch):
@@ -197,6 +218,7 @@ class _Join:
         sent = settled(self.single.select("_tid", "text").mapInArrow(send, "part int, gid binary, size binary, times binary, keys binary, places binary, text binary"))
         members = settled(sent.where("part = -1").select("gid", "size", "text").mapInArrow(unfold, "text long, gid long, n int").distinct())
         postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int, left int"))
+        level.destroy()  # all that needs it is checkpointed
         return members, postings
 
     def stored(self, candidates: DataFrame) -> DataFrame:
@@ -245,6 +267,8 @@ class _Join:
                     linked.append(either > 0 and 100 * both >= percent * either)
                     d.append(1 - both / max(either, 1))
                     at += 1
+            own, seen = {}, {}
+            give_back()
             return pa.Table.from_arrays([table.column("a").combine_chunks(), table.column("b").combine_chunks(), pa.array(linked, pa.bool_()), pa.array(d, pa.float64())], schema=shape)
 
         return settled(theirs.groupBy("lane").cogroup(pivots.groupBy("lane")).applyInArrow(verify, "a long, b long, linked boolean, d double"))
@@ -253,7 +277,8 @@ class _Join:
         return F.lit(100) * F.least(x, y) >= F.lit(self.percent) * F.greatest(x, y)
 
     def links(self, members: DataFrame, postings: DataFrame) -> DataFrame:
-        """(a, b) links that connect what all links connect."""
+        """(a, b) links that connect what all links connect (the links found in a
+        step may go on as pointers to the least node of what they connect)."""
         total = max(1, members.count())
         groups = settled(members.groupBy("gid").agg(F.min("text").alias("leader"), F.count("*").alias("_k")))
         alike = groups.where("_k > 1").select("gid")
@@ -287,6 +312,7 @@ class _Join:
         balls = settled(radius.join(size, "center"))
         found = zero.where("linked").select("a", "b").unionByName(one.where("linked").select("a", "b"))
         roots = settled(components(found))
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stands for the links so far
 
         def root(df: DataFrame, column: str, roots: DataFrame = roots) -> DataFrame:
             own = roots.select(F.col("node").alias(column), F.col("root").alias(f"_{column}"))
@@ -307,17 +333,18 @@ class _Join:
         pairs = pairs.where(1 - F.least("a_cn", "b_cn") / F.greatest("a_cn", "b_cn") <= slack).select("a", "b", "ar", "br").distinct()
         pairs = settled(pairs)
         two = self.tested(pairs, texts)
-        found = found.unionByName(two.where("linked").select("a", "b"))
+        found = known.unionByName(two.where("linked").select("a", "b"))
         doubt = settled(two.where("not linked").join(pairs, ["a", "b"]).where(F.col("d") <= slack).select("a", "b", "d"))
         if doubt.isEmpty():
             return found
         roots = settled(components(found))
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         doubt = settled(root(root(doubt, "a", roots), "b", roots).where("_a <> _b").select("a", "b", "d"))
-        return found.unionByName(self.expanded(doubt, found, all_units, inside, members, texts, lists, held))
+        return self.expanded(doubt, found, all_units, inside, members, texts, lists, held)
 
     def expanded(self, doubt: DataFrame, found: DataFrame, units: DataFrame, inside: DataFrame, members: DataFrame, texts: DataFrame, lists: DataFrame, held: DataFrame) -> DataFrame:
-        """Links between the members of balls whose centres don't exclude them; of
-        each ball only members with a shingle that the other has, both early."""
+        """``found`` and links between the members of balls whose centres don't exclude
+        them; of each ball only members with a shingle that the other has, both early."""
         own = units.select("unit", "center", "d1")
         ball = own.select(F.col("unit").alias("text"), "unit", "center", F.col("d1").alias("delta")).unionByName(
             inside.join(own, "unit").select("text", "unit", "center", (F.col("d0") + F.col("d1")).alias("delta"))
@@ -334,6 +361,7 @@ class _Join:
         three = self.tested(cross.where("text <> b").select(F.col("b").alias("a"), F.col("text").alias("b")), texts)
         more = three.where("linked").select("a", "b")
         roots = settled(components(found.unionByName(more)))
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
         still = label(label(doubt, "a"), "b").where("_a <> _b").select("a", "b")
         x = ball.select(F.col("center").alias("a"), F.col("text").alias("x"), F.col("n").alias("xn"))
@@ -344,7 +372,7 @@ class _Join:
         pairs = x.join(y, ["a", "b"]).where(self.near("xn", "yn") & (F.col("dx") - F.col("dy") <= room) & (F.col("x") != F.col("y")))
         pairs = label(label(pairs.select("x", "y").distinct(), "x"), "y").where("_x <> _y")
         four = self.tested(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), texts)
-        return more.unionByName(four.where("linked").select("a", "b"))
+        return found.unionByName(four.where("linked").select("a", "b"))
 
 
 def text_key(text: Column) -> Column:
