@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import released, slim
 
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
-#: Bounds of the training sample: rows per language, characters per row.
-ROWS_PER_LANGUAGE, TRAIN_CHARS = 1000, 20_000
+#: Bounds of the training sample: rows of a language, rows of all languages (but
+#: as many as LEAST_ROWS of each that has them), characters of a row.
+ROWS_PER_LANGUAGE, TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS = 1000, 100_000, 20, 20_000
 
 _TABLE = np.arange(256, dtype=np.uint32)
 _TABLE[:128] = 32
@@ -65,7 +66,7 @@ def fit(rows: list[tuple[int, str, str]], dim: int = 16, epochs: int = 5, rate:
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    data = [(*_features(t.encode()), languages.index(lang)) for _, t, lang in sorted(rows)]
+    data = [(*_features(t.encode()), languages.index(lang)) for _, t, lang in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))]
     data = [(i, c / c.sum(), y) for i, c, y in data if len(i)]
     apart = np.array([j % 10 == 0 for j in range(len(data))])
     emb = (rng.standard_normal((1 << BUCKET_BITS, dim)) / dim).astype(np.float32)
@@ -158,16 +159,27 @@ def predict_batch(model: LanguageModel | None, texts: list[str | None]) -> tuple
     return langs, scores, accepted
 
 
-def training_sample(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> list[tuple[int, str, str]]:
-    """About ``per_language`` rows of each language there is, by a hash of the id."""
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
+def training_sample(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[int, str, str]]:
+    """About ``per_language`` rows of every language there is (fewer if all
+    together would be more than ``rows``), by a hash of id and text.
+
+    Of a text of more than ``chars`` characters, ten windows spread evenly over
+    the whole text are taken.  Rows without text or language teach nothing;
+    repeated rows are taken once.
+    """
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return []
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in counts.items()], "lang string, _share double")
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
-    rows = usable.join(F.broadcast(shares), "lang").where(draw < F.col("_share")).select("doc_id", "text", "lang")
-    return [tuple(r) for r in rows.limit(2 * per_language * len(counts)).collect()]
+    each = max(LEAST_ROWS, min(per_language, rows // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "lang string, _share double")
+    draw = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language sample"))
+    part = F.pmod(draw, F.lit(1 << 40)) / float(1 << 40)
+    whole, window = F.length("text"), chars // 10
+    windows = [F.substr("text", (F.lit(i) * (whole - window) / 9).cast("int") + 1, F.lit(window)) for i in range(10)]
+    text = F.when(whole <= chars, F.col("text")).otherwise(F.concat_ws(" ", *windows))
+    drawn = usable.join(F.broadcast(shares), "lang").where(part < F.col("_share")).select("lang", draw.alias("_draw"), "doc_id", text.alias("text"))
+    return sorted(((r[0], r[1], r[2]) for r in drawn.dropDuplicates(["lang", "_draw"]).select("doc_id", "text", "lang").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -180,6 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by 2^16 buckets x languages
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import released, slim
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
@@ -35,8 +35,8 @@ IDENTITY_TERMS = (
     ("immigrants", "citizens", "refugees"), ("old", "young"), ("elderly", "teenage"),
     ("blind", "sighted"), ("deaf", "hearing"), ("disabled", "abled"),
 )
-#: Bounds of the training sample: labelled rows, characters per row.
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 20_000
+#: Bound of the training sample in labelled rows.
+TRAIN_ROWS = 8_000
 
 
 #: Lengths of the stems (first letters, marked by an asterisk) of longer words.
@@ -60,11 +60,15 @@ class ToxicityModel:
     def __post_init__(self) -> None:
         self._memo: dict[str, tuple[str, ...]] = {}
 
+    def fresh(self) -> ToxicityModel:
+        """The same model, whose memory of words goes with it."""
+        return ToxicityModel(self.bias, self.weights, self.whole)
+
     def score(self, text: str | None) -> float:
         """The probability that a whole text is toxic."""
         found: set[str] = set()
         memo, weights = self._memo, self.weights
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         for w in set(_WORD.findall(text.lower())) if text else ():
             own = memo.get(w)
@@ -177,12 +181,23 @@ def fit(rows: list[tuple[str | None, int]], identity_terms: tuple[tuple[str, ...
     return ToxicityModel(bias, {f: float(w[i]) for f, i in index.items() if w[i]}, whole)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled texts, drawn by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str | None, int]]:
+    """At most ``rows`` labelled documents, drawn by a hash of the id, as (words, toxic).
+
+    The words are the distinct ones of the whole text, which is all that a
+    feature comes from.  Of rows that repeat an id one is taken; an id with both
+    labels gives one row for each, and counts as two.
+    """
     drawn = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), "doc_id", "toxic").limit(rows)
-    texts = slim(docs, "doc_id", "text").where((F.length("text") <= chars) | F.col("text").isNull())
-    found = texts.join(F.broadcast(drawn), "doc_id").select("text", "toxic").collect()
-    return sorted(((x, t) for x, t in found), key=lambda a: (a[0] or "", a[1]))
+    found = slim(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [" ".join(sorted(set(_WORD.findall(t.as_py().lower())))) if t.is_valid else None for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(words, pa.string())], ["doc_id", "toxic", "words"])
+
+    one = found.mapInArrow(distinct, "doc_id long, toxic int, words string").groupBy("doc_id", "toxic").agg(F.min("words").alias("words"))
+    return sorted(((x, t) for x, t in one.select("words", "toxic").collect()), key=lambda a: (a[0] or "", a[1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -193,8 +208,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the bounded sample only
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value.fresh()
         for batch in batches:
             got = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], ["doc_id", "score", "predicted"])
@@ -208,8 +224,9 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value.fresh()
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
