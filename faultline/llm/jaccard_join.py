@@ -11,7 +11,10 @@ joins the ball of that centre.  Pairs of centres that share a list, with the
 shingle so early in both that what follows can be enough, are tested.
 The Jaccard distance is a metric, so two balls whose centres are further apart
 than the radii allow hold no link and are never expanded; others are expanded
-and their members verified.  Pairs that are connected already need no test.
+and their members verified.  Pairs that are connected already need no test, nor
+do centres that differ too much by their parities: of each of 1024 cells a text
+keeps whether its number of shingles there is odd, and two texts differ in at
+least as many shingles as in cells.
 """
 
 from __future__ import annotations
@@ -34,6 +37,11 @@ from .components import components
 SKETCH_BITS = 20
 #: Slices of the sketch, and how many tasks' counts of one are summed at once.
 _SLICES, _TASKS_A_SUM = 64, 256
+#: Cells of the parities of a text, as 64-bit words, and their columns.
+PARITY_WORDS = 16
+PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
+#: Pairs that one task compares, about.
+_PAIRS_A_TASK = 4096
 #: Texts are handled so many bytes at a time.
 _SLICE_BYTES = 2 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -136,10 +144,19 @@ def _counts(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel().astype(np.int64)
 
 
-def _prefixes(ids: list[int], texts: list[bytes], n: int, percent: int, level: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sizes and group keys of the texts; owners, tokens and places (in 256ths of
-    the prefix) of the prefixes."""
+def parities(owner: np.ndarray, token: np.ndarray, texts: int) -> np.ndarray:
+    """Of each text, which cells have an odd number of its shingles."""
+    bits = np.zeros(texts * PARITY_WORDS, np.uint64)
+    cell = (token >> np.uint64(16)) % np.uint64(64 * PARITY_WORDS)
+    np.bitwise_xor.at(bits, owner * PARITY_WORDS + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return bits.reshape(-1, PARITY_WORDS)
+
+
+def _prefixes(texts: list[bytes], n: int, percent: int, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sizes, parities and group keys of the texts; owners, tokens and places (in
+    256ths of the prefix) of the prefixes."""
     owner, token = shingle_sets(texts, n)
+    parity = parities(owner, token, len(texts))
     size = np.bincount(owner, minlength=len(texts))
     order = np.lexsort((token, level[_cells(token)], owner))
     owner, token = owner[order], token[order]
@@ -154,7 +171,7 @@ def _prefixes(ids: list[int], texts: list[bytes], n: int, percent: int, level: n
     group = np.zeros(len(texts), np.uint64)
     np.add.at(group, owner, mixed)
     group = blocks.scramble(group + size.astype(np.uint64))
-    return size, group.view(np.int64), owner, token, (place * np.uint64(256) // per[owner].astype(np.uint64)).astype(np.uint8)
+    return size, parity, group.view(np.int64), owner, token, (place * np.uint64(256) // per[owner].astype(np.uint64)).astype(np.uint8)
 
 
 class _Join:
@@ -164,9 +181,9 @@ class _Join:
         self.rows = repeats.prepared(docs, self.buckets)
         self.single = self.rows.where(F.col("_rep").isNull() | (F.col("_rep") == F.col("_d")))
 
-    def index(self) -> tuple[DataFrame, DataFrame]:
-        """members(text, gid, n) and postings(token, gid, n, left) of shared tokens;
-        at most ``left`` shingles follow from the token on, itself included."""
+    def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """members(text, gid, n), parities of texts, and postings(token, gid, n, left) of
+        shared tokens; at most ``left`` shingles follow from the token on, itself included."""
         n, percent, parts = self.n, self.percent, self.parts
         level = self.single.sparkSession.sparkContext.broadcast(_sketch(self.single, n))
         names = ["part", "gid", "size", "times", "keys", "places", "text"]
@@ -176,9 +193,9 @@ class _Join:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for ids, texts in _slices(batch):
-                    size, gid, owner, token, place = _prefixes(ids, texts, n, percent, level.value)
+                    size, parity, gid, owner, token, place = _prefixes(texts, n, percent, level.value)
                     some = size > 0
-                    out = [(-1, gid[some].tobytes(), size[some].astype("<u4").tobytes(), None, None, None, np.array(ids, np.int64)[some].tobytes())]
+                    out = [(-1, gid[some].tobytes(), size[some].astype("<u4").tobytes(), None, None, parity[some].tobytes(), np.array(ids, np.int64)[some].tobytes())]
                     part, key = repeats._stored(token, parts)
                     order = np.lexsort((owner, part))
                     part, key, owner, place = part[order], key[order], owner[order], place[order]
@@ -215,11 +232,18 @@ class _Join:
                 for g, s, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(s, "<u4").astype(np.int32))], ["text", "gid", "n"])
 
+        def odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t, p in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+                    cells = np.frombuffer(p, np.int64).reshape(-1, PARITY_WORDS).T.copy()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), *[pa.array(c) for c in cells]], ["text", *PARITY])
+
         sent = settled(self.single.select("_tid", "text").mapInArrow(send, "part int, gid binary, size binary, times binary, keys binary, places binary, text binary"))
         members = settled(sent.where("part = -1").select("gid", "size", "text").mapInArrow(unfold, "text long, gid long, n int").distinct())
         postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int, left int"))
         level.destroy()  # all that needs it is checkpointed
-        return members, postings
+        marks = sent.where("part = -1").select("text", F.col("places").alias("_p")).mapInArrow(odd, "text long, " + ", ".join(f"{c} long" for c in PARITY))
+        return members, marks, postings
 
     def stored(self, candidates: DataFrame) -> DataFrame:
         """text, raw (compressed whole text) of the candidate texts.
@@ -239,8 +263,10 @@ class _Join:
 
     def tested(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, linked, d) for distinct pairs; a may be in very many."""
-        n, percent, lanes = self.n, self.percent, 4 * width(pairs.sparkSession)
-        pairs = settled(pairs.select("a", "b").distinct().withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int")))
+        n, percent = self.n, self.percent
+        pairs = settled(pairs.select("a", "b").distinct())
+        lanes = max(4 * width(pairs.sparkSession), pairs.count() // _PAIRS_A_TASK)
+        pairs = pairs.withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int"))
         theirs = pairs.join(texts.withColumnRenamed("text", "b"), "b")
         pivots = pairs.select("a", "lane").distinct().join(texts.withColumnRenamed("text", "a"), "a")
         # columns of their own, as both sides stem from the same tables
@@ -276,7 +302,7 @@ class _Join:
     def near(self, x: str, y: str):
         return F.lit(100) * F.least(x, y) >= F.lit(self.percent) * F.greatest(x, y)
 
-    def links(self, members: DataFrame, postings: DataFrame) -> DataFrame:
+    def links(self, members: DataFrame, marks: DataFrame, postings: DataFrame) -> DataFrame:
         """(a, b) links that connect what all links connect (the links found in a
         step may go on as pointers to the least node of what they connect)."""
         total = max(1, members.count())
@@ -309,7 +335,8 @@ class _Join:
         all_units = settled(all_units.join(reach, "unit", "left").withColumn("r0", F.coalesce("r0", F.lit(0.0))))
         radius = all_units.groupBy("center").agg(F.max(F.col("d1") + F.col("r0")).alias("radius"), F.min("n").alias("lo"))
         size = units.select(F.col("unit").alias("center"), F.col("n").alias("cn"))
-        balls = settled(radius.join(size, "center"))
+        odd = marks.withColumnRenamed("text", "center").dropDuplicates(["center"])
+        balls = settled(radius.join(size, "center").join(odd, "center"))
         found = zero.where("linked").select("a", "b").unionByName(one.where("linked").select("a", "b"))
         roots = settled(components(found))
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stands for the links so far
@@ -322,7 +349,7 @@ class _Join:
         held = root(held, "center").join(balls, "center")
         mixed = held.groupBy("token").agg(F.min("_center").alias("x"), F.max("_center").alias("y")).where("x <> y").select("token")
         held = settled(held.join(mixed, "token", "left_semi"))
-        facts = ("radius", "cn", "lo", "left")
+        facts = ("radius", "cn", "lo", "left", *PARITY)
         left, right = (held.select("token", F.col("center").alias(c), F.col("_center").alias(f"_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in facts]) for c in "ab")
         pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
         # of what links, the first common shingle is early enough in both texts
@@ -330,7 +357,10 @@ class _Join:
         pairs = pairs.where((100 + percent) * F.least("a_left", "b_left") >= percent * (F.col("a_lo") + F.col("b_lo")))
         pairs = pairs.withColumnsRenamed({"a_radius": "ar", "b_radius": "br"})
         slack = F.lit(self.limit + 1e-9) + F.col("ar") + F.col("br")
-        pairs = pairs.where(1 - F.least("a_cn", "b_cn") / F.greatest("a_cn", "b_cn") <= slack).select("a", "b", "ar", "br").distinct()
+        pairs = pairs.where(1 - F.least("a_cn", "b_cn") / F.greatest("a_cn", "b_cn") <= slack)
+        # they differ in so many shingles at least; of a and b together, a_cn + b_cn and these are twice the union
+        differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+        pairs = pairs.where(F.lit(2) * differ <= slack * (F.col("a_cn") + F.col("b_cn") + differ)).select("a", "b", "ar", "br").distinct()
         pairs = settled(pairs)
         two = self.tested(pairs, texts)
         found = known.unionByName(two.where("linked").select("a", "b"))
@@ -391,8 +421,8 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, keyed: bo
     rows give no rows.  If ``keyed``, text_key is the row's ``text_key(text)``.
     """
     join = _Join(docs, n, percent)
-    members, postings = join.index()
-    links = join.links(members, postings)
+    members, marks, postings = join.index()
+    links = join.links(members, marks, postings)
     roots = components(links)
     rows = settled(join.rows.select("_d", "_null", "_tid"))
     texts = rows.groupBy("_tid").agg(F.min("_d").alias("_least"), F.count("*").alias("_k"))
