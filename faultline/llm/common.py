@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Texts may be long: the bytes of an Arrow batch, unless the session has its own.
+_BATCH_CONF, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Bound the memory of a batch on its way to a Python worker and back."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, _BATCH_BYTES)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder the cluster names.
 
@@ -29,6 +39,7 @@ def materialize(df: DataFrame) -> DataFrame:
     machines don't share one, that is an error.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
@@ -84,6 +95,7 @@ def width(spark: SparkSession) -> int:
 
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra or clashing ones do no harm."""
+    modest_batches(docs.sparkSession)
     return docs.select(*[docs[c] for c in columns])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slim
+from .common import modest_batches, released, slim
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
@@ -221,6 +221,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they
     are; a null text is judged like an empty one.  Nothing is shuffled."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
