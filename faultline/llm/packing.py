@@ -12,29 +12,38 @@ rank of each piece among those of its length.
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slim, width
+from .common import materialize, released, slim, width
 
 _ENCODERS: dict[str, object] = {}
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 700_000
 _OLD = unicodedata.ucd_3_2_0
-#: Texts are encoded so many characters at a time.
-_BLOCK_CHARS = 2_000_000
+#: Longer words go to the tokenizer as they are.
+_LONG_WORD = 1000
+#: Texts are encoded so many characters, or texts, at a time.
+_BLOCK_CHARS, _BLOCK_ROWS = 4_000_000, 20_000
+
+
+#: ASCII marks at the end of a word; none is a letter, a digit or white space.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: A word a line: precomposed letters of Basic Latin and Latin-1, whose lower case
+#: is one such letter, and marks; or something else.
+_PARTS = re.compile(f"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{{1,1000}})([{re.escape(_MARKS)}]*)|(.*))$", re.MULTILINE)
 
 
 def _plain(core: str) -> bool:
     """Whether the word is letters in the normal form too, by the letters of an
     old Unicode version, which every later one has."""
-    if core.isascii():
-        return core.isalpha()
     lowered = unicodedata.normalize("NFC", core).lower()
     return core.isalpha() and all(_OLD.category(c)[0] == "L" for c in lowered)
 
@@ -43,11 +52,13 @@ class _Encoder:
     """Ids of whole texts as little-endian bytes, through a bounded word cache.
 
     The tokenizer drops white space and never joins across it, so the words
-    between ASCII blanks can be encoded apart and their ids remembered.  A full
-    stop or comma after letters is a token of its own if they are still letters
-    in the tokenizer's normal form: where this has a combining mark, the two are
-    one.  Unknown words of such letters only go to the tokenizer in one string,
-    whose ids are cut where a word ends; all others go whole.
+    between ASCII blanks can be encoded apart and their ids remembered.  ASCII
+    marks after letters are cut off them if they are still letters in the
+    tokenizer's normal form: where this has a combining mark, the two are one.
+    Unknown words of such letters only go to the tokenizer in one string, whose
+    ids are cut where a word ends; all others go whole.  A tokenizer that does
+    not work this way (its pieces have no word ends, or ``_probes`` differ) gets
+    whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,50 +66,69 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._one(m) for m in ".,"}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.by_word = bool(self.ends.any()) and self._probes()
+
+    def _probes(self) -> bool:
+        """Whether the tokenizer treats words, marks, case and blanks as assumed."""
+        ids = lambda t: self._one(t)
+        apart = all(ids(f"{a}{blank}{b}") == ids(a) + ids(b) for a in ("Word", "x9", "***", "\u00c9t\u00e9.") for b in ("other", ",", "7") for blank in (" ", "\n", "  "))
+        marked = all(ids(core + m) == ids(core) + ids(m) for core in ("Word", "\u00e9t\u00e9") for m in [*_MARKS, "***", ".,", "'"])
+        return apart and marked and ids("WoRd") == ids("word") and ids(" a ") == ids("a") and ids("") == b""
 
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _all(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, out, todo = self.known, [], []
-        for text in texts:
-            words = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
-            todo.append(words)
-        unknown: set[str] = set()
-        for words in todo:
-            unknown.update(words)
-        unknown.difference_update(known)
-        self._learn(unknown)
-        for words in todo:
-            out.append(b"".join([known[w] for w in words]))
+        if not self.by_word:
+            return self._all(texts)
+        todo = [(text.replace("\n", " ") if "\n" in text else text).split(" ") for text in texts]
+        known = self.known
+        self._learn(list(set(filterfalse(known.__contains__, chain.from_iterable(todo)))))
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) for words in todo]
         if len(known) > _CACHED_WORDS:
             known.clear()
         if len(self.cores) > _CACHED_WORDS:
             self.cores.clear()
+        if len(self.marks) > _CACHED_WORDS:
+            self.marks = {"": b""}
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        known, cores, split, fresh, odd = self.known, self.cores, [], set(), []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1:] in self.marks else (w, "")
-            if _plain(core):
-                if core.isascii():
-                    core = core.lower()
-                split.append((w, core, mark))
-                if core not in cores:
-                    fresh.add(core)
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
-            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        self._learn_cores(sorted(fresh))
-        for w, core, mark in split:
-            known[w] = cores[core] + self.marks[mark] if mark else cores[core]
+    def _learn(self, words: list[str]) -> None:
+        known, cores, marks, odd = self.known, self.cores, self.marks, []
+        whole, core_of, mark_of = [], [], []
+        for w, (core, mark, other) in zip(words, _PARTS.findall("\n".join(words)) if words else (), strict=True):
+            if other or not w:
+                core = w.rstrip(_MARKS)
+                mark = w[len(core) :]
+                if not core or len(core) > _LONG_WORD or not _plain(core):
+                    odd.append(w)
+                    continue
+                if core in cores:  # not of Latin-1, so lower case is left to the tokenizer
+                    known[w] = cores[core] + (marks.get(mark) or self._one(mark))
+                    continue
+                self.cores[core] = self._one(core)
+                known[w] = cores[core] + (marks.get(mark) or self._one(mark))
+                continue
+            whole.append(w)
+            core_of.append(core)
+            mark_of.append(mark)
+        known.update(zip(odd, self._all(odd), strict=True))
+        core_of = "\n".join(core_of).lower().split("\n") if core_of else []
+        for mark in set(mark_of).difference(marks):
+            marks[mark] = self._one(mark)
+        self._learn_cores(list(set(core_of).difference(cores)))
+        for w, core, mark in zip(whole, core_of, mark_of, strict=True):
+            known[w] = cores[core] + marks[mark] if mark else cores[core]
 
     def _learn_cores(self, fresh: list[str]) -> None:
         if not fresh:
@@ -124,28 +154,31 @@ def _encoder(path: str) -> _Encoder:
     return _ENCODERS[path]
 
 
-def _encoded(encoder: _Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+def _encoded(encoder: _Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """Ids of the documents, in blocks that may span batches."""
     doc_ids, block, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        doc_ids.append(doc_id)
-        block.append(text.as_py() or "")
-        size += len(block[-1])
-        if size >= _BLOCK_CHARS:
-            yield from zip(doc_ids, encoder.encode(block), strict=True)
-            doc_ids, block, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            doc_ids.append(doc_id)
+            block.append(text.as_py() or "")
+            size += len(block[-1])
+            if size >= _BLOCK_CHARS or len(block) >= _BLOCK_ROWS:
+                yield list(zip(doc_ids, encoder.encode(block), strict=True))
+                doc_ids, block, size = [], [], 0
     if block:
-        yield from zip(doc_ids, encoder.encode(block), strict=True)
+        yield list(zip(doc_ids, encoder.encode(block), strict=True))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, include_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document, ``end_id`` last."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for block in _encoded(encoder, batches):
             rows: list[tuple] = []
-            for doc_id, ids in _encoded(encoder, batch):
+            for doc_id, ids in block:
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
