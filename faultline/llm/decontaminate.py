@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Before lower-casing A-Z, the same words are those of this pattern.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a benchmark-sized table that may be broadcast; beyond it, a shuffle.
 BROADCAST_ROWS = 200_000
 _POSITION_BITS = 31
+#: Bits (as a power of two) of the bitmap of the items' fingerprints.
+_LEAST_BITS, _MOST_BITS = 12, 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -74,25 +74,57 @@ def _join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def _aligned(items: DataFrame, docs: DataFrame, span: int, k: int) -> DataFrame:
-    """Distinct (doc_id, _th, _ik, _n, _diag) that share a fingerprint."""
-    parts = []
-    long_items = items.where(F.col("_n") >= span)
-    lengths = sorted(r[0] for r in items.where(F.col("_n") < span).select("_n").distinct().collect())  # at most span - 1 numbers
-    for n in [*lengths, span]:
-        if n == span:
-            theirs = _exploded(_winnow(_grams(long_items, k), span, k), "_f", ["_ik", "_n"])
-            ours = _exploded(_winnow(_grams(docs, k), span, k), "_f", ["doc_id", "_th"])
-        else:
-            theirs = _exploded(_grams(items.where(F.col("_n") == n), n), "_h", ["_ik", "_n"])
-            ours = _exploded(_grams(docs, n), "_h", ["doc_id", "_th"])
-        theirs = theirs.withColumnRenamed("_at", "_its")
-        hits = _join_small(ours, theirs, "_fp")
-        parts.append(hits.select("doc_id", "_th", "_ik", "_n", (F.col("_at") - F.col("_its")).alias("_diag")))
+def _item_prints(items: DataFrame, lengths: list[int], span: int, k: int) -> DataFrame:
+    """(_ik, _n, _span, _fp, _its): of items shorter than ``span`` their one gram,
+    of others the winnowed k-grams."""
+    parts = [_exploded(_winnow(_grams(items.where(F.col("_n") >= span), k), span, k), "_f", ["_ik", "_n"]).withColumn("_span", F.lit(span))]
+    for n in lengths:
+        parts.append(_exploded(_grams(items.where(F.col("_n") == n), n), "_h", ["_ik", "_n"]).withColumn("_span", F.lit(n)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.select("_ik", "_n", "_span", "_fp", F.col("_at").alias("_its"))
+
+
+def _bitmap(prints: DataFrame) -> tuple[Column, int]:
+    """Which low bits the items' fingerprints have, as words of 64 bits, and how
+    many bits these are: a bound on what reaches the driver, whatever the items."""
+    n = prints.count()
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * n).bit_length()))
+    low = F.col("_fp").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = prints.groupBy(F.shiftright(low, 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("w")).collect()
+    words = [0] * (1 << bits - 6)
+    for i, w in rows:
+        words[i] = w
+    return F.split(F.lit(" ".join(map(str, words))), " ").cast("array<bigint>"), bits
+
+
+def _scanned(docs: DataFrame, lengths: list[int], span: int, k: int, bitmap: Column, bits: int) -> DataFrame:
+    """doc_id, _th, n_words, _hits: one pass over the texts, which keeps of their
+    fingerprints only those whose low bits an item has."""
+
+    def some(array: str, n: int) -> Column:
+        def known(v: Column) -> Column:
+            low = F.shiftright(v, _POSITION_BITS).bitwiseAND(F.lit((1 << bits) - 1))
+            return F.getbit(F.get(bitmap, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return F.transform(F.filter(array, known), lambda v: F.struct(F.lit(n).alias("_span"), v.alias("_v")))
+
+    found = []
+    for n in lengths:
+        docs = _grams(docs, n).withColumn(f"_s{n}", some("_h", n)).drop("_h")
+        found.append(f"_s{n}")
+    docs = _winnow(_grams(docs, k), span, k).withColumn(f"_s{span}", some("_f", span))
+    return docs.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.concat(*found, f"_s{span}").alias("_hits"))
+
+
+def _aligned(scanned: DataFrame, prints: DataFrame) -> DataFrame:
+    """Distinct (doc_id, _th, _ik, _n, _diag) that share a fingerprint."""
+    hits = scanned.where(F.size("_hits") > 0).select("doc_id", "_th", F.explode("_hits").alias("_x")).select("doc_id", "_th", "_x.*")
+    mask = (1 << _POSITION_BITS) - 1
+    hits = hits.select("doc_id", "_th", "_span", F.shiftright("_v", _POSITION_BITS).alias("_fp"), F.col("_v").bitwiseAND(F.lit(mask)).cast("int").alias("_at"))
+    both = _join_small(hits, prints, ["_span", "_fp"])
+    return both.select("doc_id", "_th", "_ik", "_n", (F.col("_at") - F.col("_its")).alias("_diag")).distinct()
 
 
 def text_key(text: Column) -> Column:
@@ -116,7 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     items = benchmark.select(benchmark["item_id"], benchmark["text"]).select(key.alias("_ik"), "item_id", words_of(F.col("text")).alias("_w"))
     items = items.dropDuplicates(["_ik"]).withColumn("_n", F.size("_w")).where("_n > 0")
     items = materialize(items)
-    aligned = materialize(_aligned(items, worded, span, k))
+    lengths = sorted(r[0] for r in items.where(F.col("_n") < span).select("_n").distinct().collect())  # at most span - 1 numbers
+    prints = materialize(_item_prints(items, lengths, span, k))
+    scanned = materialize(_scanned(worded, lengths, span, k, *_bitmap(prints)))
+    aligned = materialize(_aligned(scanned, prints))
     per_doc = aligned.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("_ik", "_n", "_diag")).alias("_al"))
     ids = per_doc.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "_al")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th").eqNullSafe(F.col("_t")))
@@ -148,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     named = hits.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     done = runs.join(named, ["doc_id", "_th"]) if hits.where("doc_id is null").isEmpty() else runs.join(named.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_u"), "items"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_u"))).drop("_d", "_u")
     done = done.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "n_hit", "spans", "items")
-    counted = base.select("doc_id", "_th", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = scanned.select("doc_id", "_th", "n_words")
     out = counted.join(F.broadcast(done) if small else done, same, "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
