@@ -40,6 +40,8 @@ _SLICES, _TASKS_A_SUM = 64, 256
 #: Cells of the parities of a text, as 64-bit words, and their columns.
 PARITY_WORDS = 16
 PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
+#: Pairs (or ids) that may be broadcast, of some ten bytes each.
+BROADCAST_PAIRS = 2_000_000
 #: Pairs that one task compares, about.
 _PAIRS_A_TASK = 4096
 #: Texts are handled so many bytes at a time.
@@ -258,17 +260,21 @@ class _Join:
                 raw = [pack.compress(t.as_py().encode()) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["text", "raw"])
 
-        packed = self.single.select("_tid", "text").mapInArrow(squeeze, "text long, raw binary")
-        return settled(packed.join(candidates.select(F.col("text").alias("_c")), F.col("text") == F.col("_c"), "left_semi").dropDuplicates(["text"]))
+        wanted = candidates.select(F.col("text").alias("_c"))
+        small = F.broadcast if candidates.count() <= BROADCAST_PAIRS else lambda df: df
+        some = self.single.select("_tid", "text").join(small(wanted), F.col("_tid") == F.col("_c"), "left_semi")
+        return settled(some.mapInArrow(squeeze, "text long, raw binary").dropDuplicates(["text"]))
 
     def tested(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, linked, d) for distinct pairs; a may be in very many."""
         n, percent = self.n, self.percent
         pairs = settled(pairs.select("a", "b").distinct())
-        lanes = max(4 * width(pairs.sparkSession), pairs.count() // _PAIRS_A_TASK)
+        count = pairs.count()
+        lanes = max(4 * width(pairs.sparkSession), count // _PAIRS_A_TASK)
+        small = F.broadcast if count <= BROADCAST_PAIRS else lambda df: df  # beyond it, the texts are shuffled
         pairs = pairs.withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int"))
-        theirs = pairs.join(texts.withColumnRenamed("text", "b"), "b")
-        pivots = pairs.select("a", "lane").distinct().join(texts.withColumnRenamed("text", "a"), "a")
+        theirs = texts.withColumnRenamed("text", "b").join(small(pairs), "b")
+        pivots = texts.withColumnRenamed("text", "a").join(small(pairs.select("a", "lane").distinct()), "a")
         # columns of their own, as both sides stem from the same tables
         pivots = pivots.select(*[F.col(c).alias(c) for c in pivots.columns])
         shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("d", pa.float64())])
