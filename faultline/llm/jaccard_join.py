@@ -352,9 +352,9 @@ class _Join:
             return df.join(own, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
 
         held = lists.select("token", "unit", "left").join(all_units.select("unit", "center"), "unit").groupBy("token", "center").agg(F.max("left").alias("left"))
-        held = root(held, "center").join(balls, "center")
+        held = root(held, "center")
         mixed = held.groupBy("token").agg(F.min("_center").alias("x"), F.max("_center").alias("y")).where("x <> y").select("token")
-        held = settled(held.join(mixed, "token", "left_semi"))
+        held = settled(held.join(mixed, "token", "left_semi").join(balls, "center"))
         facts = ("radius", "cn", "lo", "left", *PARITY)
         left, right = (held.select("token", F.col("center").alias(c), F.col("_center").alias(f"_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in facts]) for c in "ab")
         pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
