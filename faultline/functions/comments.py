@@ -42,13 +42,28 @@ def embed_patterns(text: Column | str) -> Column:
     return F.when(F.startswith(_col(text), F.lit(EMBED)), bare).otherwise(F.array().cast("array<string>"))
 
 
+#: Parts of a path pattern: an escaped character, a class, or one character.
+_GLOB_PART = r"(?s)(\\.|\[\^?(?:\\.|[^\]\\])+\]|.)"
+
+
 def glob_regex(pattern: Column | str) -> Column:
-    """A path pattern as a regular expression; stars don't cross slashes."""
-    p = F.regexp_replace(_col(pattern), r"^all:", "")
-    p = F.regexp_replace(p, r"([.+(){}|^$])", r"\\$1")
-    p = F.regexp_replace(p, r"\*", "[^/]*")
-    p = F.regexp_replace(p, r"\?", "[^/]")
-    return F.concat(F.lit("^"), p, F.lit("$"))
+    """A path pattern as a regular expression; stars don't cross slashes, a
+    backslash takes the special meaning from a character, also within a class.
+    A pattern with an open class or a last backslash matches nothing."""
+    parts = F.regexp_extract_all(F.regexp_replace(_col(pattern), r"^all:", ""), F.lit(_GLOB_PART), F.lit(1))
+
+    def one(t: Column) -> Column:
+        in_class = F.regexp_replace(F.substr(t, F.lit(2)), r"(?<!\\)([\[&])", r"\\$1")
+        escaped = F.regexp_replace(t, r"([^A-Za-z0-9\\s])", r"\\$1")
+        return (
+            F.when(t == "*", "[^/]*").when(t == "?", "[^/]")
+            .when(F.startswith(t, F.lit("\\")), F.concat(F.lit("\\Q"), F.substr(t, F.lit(2)), F.lit("\\E")))
+            .when(F.startswith(t, F.lit("[")) & (F.length(t) > 1), F.concat(F.lit("["), in_class))
+            .otherwise(escaped)
+        )
+
+    bad = F.exists(parts, lambda t: t.isin("[", "\\"))
+    return F.when(bad, F.lit("(?!)")).otherwise(F.concat(F.lit("^"), F.array_join(F.transform(parts, one), ""), F.lit("$")))
 
 
 def ancestors(path: Column | str) -> Column:

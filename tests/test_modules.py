@@ -53,3 +53,15 @@ def test_globs_do_not_cross_folders(spark):
     df = spark.createDataFrame([("a/*", "a/b", True), ("a/*", "a/b/c", False), ("all:x?", "xy", True), ("*.t", "a.t", True), ("*.t", "aXt", False)], "p string, f string, want boolean")
     rows = df.withColumn("r", comments.glob_regex("p")).select("want", F.expr("f rlike r").alias("got")).collect()
     assert all(r.want == r.got for r in rows)
+
+
+def test_globs(spark):
+    from faultline.functions.comments import glob_regex
+
+    cases = [
+        ("a*b", "axxb", True), ("a*b", "a/b", False), ("?x", "ax", True), ("?x", "/x", False), ("[^a]x", "ax", False), ("[^a]x", "bx", True),
+        ("[a-c]x", "bx", True), ("[a-c]x", "dx", False), ("a\\*b", "a*b", True), ("a\\*b", "axb", False), ("[a\\]]x", "]x", True), ("[ab", "a", False),
+        ("a\\", "a", False), ("x.y", "xzy", False), ("x.y", "x.y", True), ("a+(b)", "a+(b)", True), ("[[&]x", "[x", True), ("[[&]x", "&x", True), ("all:d*", "dir", True), ("", "", True),
+    ]
+    rows = spark.createDataFrame(cases, "p string, t string, want boolean").withColumn("re", glob_regex("p")).selectExpr("p", "t", "want", "t rlike re as got")
+    assert [(r.p, r.t) for r in rows.collect() if r.got != r.want] == []
