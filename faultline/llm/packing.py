@@ -15,8 +15,10 @@ import heapq
 import re
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import count, islice
+from operator import concat
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,9 @@ class _Encoder:
     """Ids of whole texts as little-endian bytes, through a bounded word cache.
 
     The tokenizer drops white space and never joins across it, so the words
-    between ASCII blanks can be encoded apart and their ids remembered.  ASCII
+    between ASCII blanks can be encoded apart and their ids remembered.  Every
+    word gets a number when it is first met; the ids of all words lie one after
+    the other by number, and texts are put together by numpy.  ASCII
     marks after letters are cut off them if they are still letters in the
     tokenizer's normal form: where this has a combining mark, the two are one.
     Unknown words of such letters only go to the tokenizer in one string, whose
@@ -68,11 +72,15 @@ class _Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self._forget()
         self.by_word = bool(self.ends.any()) and self._probes()
 
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.bounds = np.empty(0, "<u4"), np.zeros(1, np.int64)
+        self.cores: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
+
     def _probes(self) -> bool:
         """Whether the tokenizer treats words, marks, case and blanks as assumed."""
         ids = lambda t: self._one(t)
@@ -88,47 +96,55 @@ class _Encoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_word or not texts:
             return self._all(texts)
-        todo = [(text.replace("\n", " ") if "\n" in text else text).split(" ") for text in texts]
-        known = self.known
-        self._learn(list(set(filterfalse(known.__contains__, chain.from_iterable(todo)))))
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in todo]
-        if len(known) > _CACHED_WORDS:
-            known.clear()
-        if len(self.cores) > _CACHED_WORDS:
-            self.cores.clear()
-        if len(self.marks) > _CACHED_WORDS:
-            self.marks = {"": b""}
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        known, cores, marks, odd = self.known, self.cores, self.marks, []
-        whole, core_of, mark_of = [], [], []
-        for w, (core, mark, other) in zip(words, _PARTS.findall("\n".join(words)) if words else (), strict=True):
-            if other or not w:
-                core = w.rstrip(_MARKS)
-                mark = w[len(core) :]
-                if not core or len(core) > _LONG_WORD or not _plain(core):
-                    odd.append(w)
-                    continue
-                if core in cores:  # not of Latin-1, so lower case is left to the tokenizer
-                    known[w] = cores[core] + (marks.get(mark) or self._one(mark))
-                    continue
-                self.cores[core] = self._one(core)
-                known[w] = cores[core] + (marks.get(mark) or self._one(mark))
-                continue
-            whole.append(w)
-            core_of.append(core)
-            mark_of.append(mark)
-        known.update(zip(odd, self._all(odd), strict=True))
-        core_of = "\n".join(core_of).lower().split("\n") if core_of else []
+        known = len(self.bounds) - 1
+        if len(self.numbers) != known or max(known, len(self.cores), len(self.marks)) > _CACHED_WORDS:
+            self._forget()  # full, or left halfway by an error
+            known = 0
+        number, parts = self.numbers.__getitem__, []
+        for text in texts:
+            words = (text.replace("\n", " ") if "\n" in text else text).split(" ")
+            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if len(self.numbers) > known:
+            fresh = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+            learnt = self._learn(fresh)
+            sizes = np.fromiter(map(len, learnt), np.int64, len(learnt)) // 4
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(learnt), "<u4")])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return [self._joined(part) for part in parts]
+
+    def _joined(self, words: np.ndarray) -> bytes:
+        """Ids of the numbered words, one after the other."""
+        first = self.bounds[words]
+        sizes = self.bounds[words + 1] - first
+        after = np.cumsum(sizes)
+        return self.ids[np.repeat(first - after + sizes, sizes) + np.arange(after[-1])].tobytes()
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        cores, marks = self.cores, self.marks
+        core_of, mark_of, other = zip(*_PARTS.findall("\n".join(words)), strict=True)
+        if len(core_of) != len(words):
+            raise ValueError("words may not have line ends")
+        core_of = "\n".join(core_of).lower().split("\n")
         for mark in set(mark_of).difference(marks):
             marks[mark] = self._one(mark)
         self._learn_cores(list(set(core_of).difference(cores)))
-        for w, core, mark in zip(whole, core_of, mark_of, strict=True):
-            known[w] = cores[core] + marks[mark] if mark else cores[core]
+        out = list(map(concat, map(cores.__getitem__, core_of), map(marks.__getitem__, mark_of)))
+        odd = []
+        for i in [i for i, o in enumerate(other) if o]:
+            core = words[i].rstrip(_MARKS)
+            mark = words[i][len(core) :]
+            if not core or len(core) > _LONG_WORD or not _plain(core):
+                odd.append(i)
+                continue
+            if core not in cores:  # not of Latin-1, so lower case is left to the tokenizer
+                cores[core] = self._one(core)
+            out[i] = cores[core] + (marks.get(mark) or self._one(mark))
+        for i, ids in zip(odd, self._all([words[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
     def _learn_cores(self, fresh: list[str]) -> None:
         if not fresh:
