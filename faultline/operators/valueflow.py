@@ -22,15 +22,30 @@ from .closure import labelled_closure
 PASS_THROUGH = ("paren", "index", "index_list", "recv", "append", "literal", "convert", "address")
 
 
-def carried(expr: DataFrame, base: DataFrame) -> DataFrame:
+def carried(expr: DataFrame, base: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """(node, label): base candidates at their node and at all that pass it on.
 
-    ``expr(node, parent, parent_kind)``, ``base(node, label)``.
+    ``expr(node, parent, parent_kind)``, ``base(node, label)``; ``results(src,
+    dst)`` are further ways, those of ``result_edges``.
     """
     edges = expr.where(F.col("parent_kind").isin(*PASS_THROUGH)).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    if results is not None:
+        edges = edges.unionByName(results.select("src", "dst")).distinct()
     return labelled_closure(edges, base)
 
 
+def result_edges(calls: DataFrame, targets: DataFrame, returns: DataFrame) -> DataFrame:
+    """(src, dst): from each returned expression to the calls that may yield it.
+
+    ``calls(call, callee, result)``: the call expression, what is called, and
+    which result is taken; ``targets(node, label)``: functions the callee may
+    denote; ``returns(function, result, node)``: the function's own returns, a
+    bare one with the names of its results.
+    """
+    called = calls.join(targets.select(F.col("node").alias("callee"), F.col("label").alias("function")), "callee")
+    return called.join(returns, ["function", "result"]).select(F.col("node").alias("src"), F.col("call").alias("dst")).distinct()
+
+
 def fallback(*layers: DataFrame) -> DataFrame:
     """(node, label) of the first layer that has the node."""
 
@@ -40,21 +55,25 @@ def fallback(*layers: DataFrame) -> DataFrame:
     return reduce(add, layers).distinct()
 
 
-def expression_types(nodes: DataFrame, expr: DataFrame, bindings: DataFrame, types: DataFrame, assertions: DataFrame, assignable: DataFrame) -> DataFrame:
+def expression_types(nodes: DataFrame, expr: DataFrame, bindings: DataFrame, types: DataFrame, assertions: DataFrame, assignable: DataFrame, results: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
     """(node, label): candidate types.
 
     ``nodes(node, object, static_type)``; identifiers take their object's
     ``bindings(obj, type)``; ``assertions(node, inner, type)`` keep the asserted
     type if concrete, else the inner candidates assignable to it; where nothing
-    is known the static type counts unless it is an interface.
+    is known the static type counts unless it is an interface.  ``results`` are
+    the ways of call results; ``given(node, label)`` are types known by other
+    rules, as those of fields that are read.
     """
     named = nodes.join(bindings.select(F.col("obj").alias("object"), F.col("type").alias("label")), "object").select("node", "label")
+    if given is not None:
+        named = named.unionByName(given.select("node", "label"))
     concrete = types.where("not is_interface").select(F.col("type_id").alias("type"))
     asserted = assertions.join(concrete, "type", "left_semi").select("node", F.col("type").alias("label"))
-    inner = carried(expr, named.unionByName(asserted))
+    inner = carried(expr, named.unionByName(asserted), results)
     filtered = assertions.join(concrete, "type", "left_anti").join(inner.withColumnRenamed("node", "inner"), "inner")
     filtered = filtered.join(assignable.select(F.col("from_type").alias("label"), F.col("to_type").alias("type")), ["label", "type"]).select("node", "label")
-    strong = carried(expr, inner.unionByName(filtered))
+    strong = carried(expr, inner.unionByName(filtered), results)
     static = nodes.join(concrete.withColumnRenamed("type", "static_type"), "static_type", "left_semi").select("node", F.col("static_type").alias("label"))
     return fallback(strong, static)
 
@@ -84,6 +103,26 @@ def accepted(bindings: DataFrame, targets: DataFrame, types: DataFrame, assignab
     return bindings.join(slots, "obj").join(fits, ["type", "to_type"], "left_semi").select("obj", "type").distinct()
 
 
+def field_bindings(stores: DataFrame, reads: DataFrame, nodes: DataFrame, expr: DataFrame, bindings: DataFrame, types: DataFrame, assertions: DataFrame, assignable: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """(field, type): candidate types of struct fields after exactly two passes.
+
+    ``stores(field, type_id, node)`` are values put into a field of that type by
+    a literal or an assignment, ``reads(node, field)`` expressions that read
+    one.  The second pass knows what the first found, for all stores alike: an
+    order of declarations within a pass, which may close longer chains, is not
+    modelled.  Only types that fit the field (``accepted``) count.
+    """
+    slots = stores.select(F.col("field").alias("obj"), "type_id").distinct()
+    known = None
+    for _ in range(2):
+        given = None if known is None else reads.join(known, "field").select("node", F.col("type").alias("label"))
+        found = expression_types(nodes, expr, bindings, types, assertions, assignable, results, given)
+        put = stores.join(found, "node").select(F.col("field").alias("obj"), F.col("label").alias("type")).distinct()
+        fit = accepted(put, slots, types, assignable).select(F.col("obj").alias("field"), "type")
+        known = materialize(fit if known is None else known.unionByName(fit).distinct())
+    return known
+
+
 def holds_functions(types: DataFrame, elements: DataFrame) -> DataFrame:
     """(type_id) that can hold a function: signatures, containers of such, and
     structs one level deep.  ``elements(type_id, elem_type_id, via)``."""
@@ -104,13 +143,32 @@ def indexed_targets(queries: DataFrame, stores: DataFrame) -> DataFrame:
     return hit.where("_q is null or _s is null or _q = _s").select("node", "target").distinct()
 
 
-def function_targets(nodes: DataFrame, expr: DataFrame, literals: DataFrame, named: DataFrame, stores: DataFrame) -> DataFrame:
+def function_targets(nodes: DataFrame, expr: DataFrame, literals: DataFrame, named: DataFrame, stores: DataFrame, calls: DataFrame | None = None, returns: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """(node, label): functions an expression may denote: a literal itself, a
-    named function or method value, what is stored in a variable.  What a call
-    returns is not followed: there are no facts about returns."""
+    named function or method value, what is stored in a variable, and with
+    ``calls`` and ``returns`` (see ``result_edges``) what a call returns.
+
+    Functions found may be called in turn, so each round adds the ways of the
+    calls that the last one resolved, and carries on from their sources only.
+    It ends at the least fixpoint; recursive functions add what they return.
+    """
     direct = literals.select("node", "label").unionByName(nodes.join(named.select(F.col("obj").alias("object"), F.col("function").alias("label")), "object").select("node", "label"))
     held = nodes.join(stores.select(F.col("obj").alias("object"), F.col("target").alias("label")), "object").select("node", "label")
-    return carried(expr, direct.unionByName(held).distinct())
+    found = carried(expr, direct.unionByName(held).distinct())
+    if calls is None or returns is None:
+        return found
+    ways, fresh = None, found
+    for _ in range(max_rounds):
+        new = result_edges(calls, fresh, returns)
+        new = materialize(new if ways is None else new.join(ways, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return found
+        ways = new if ways is None else ways.unionByName(new)
+        moved = new.join(found.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label").distinct()
+        carried_on = carried(expr, moved.join(found, ["node", "label"], "left_anti"), ways)
+        fresh = materialize(carried_on.join(found, ["node", "label"], "left_anti"))
+        found = found.unionByName(fresh)
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def call_bindings(args: DataFrame, params: DataFrame) -> DataFrame:

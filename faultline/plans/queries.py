@@ -526,24 +526,82 @@ def type_bindings_two_pass(spark: SparkSession, d: str) -> DataFrame:
     return valueflow.two_pass_bindings(stores, _bindings(spark, d))
 
 
-@_query("accepted_bindings", """select distinct c_custkey as obj, 1 + c_custkey % 50 as type from customer join part i on i.p_partkey = 1 + c_custkey % 40 and i.p_size % 5 = 0
-  where (1 + c_custkey % 50) % 2 = i.p_partkey % 2 and exists (select 1 from part p where p.p_partkey = 1 + c_custkey % 50)""", base=False)
+@_query("accepted_bindings", """with t as (select p_partkey as t, p_size % 5 = 0 as iface, case when p_partkey % 4 = 0 then p_partkey // 2 else p_partkey end as own from part),
+  b as (select distinct o_custkey as obj, l_partkey as type from orders join lineitem on l_orderkey = o_orderkey), fits as (select distinct l_partkey as type, l_suppkey as to_type from lineitem)
+  select distinct b.obj, b.type from b join customer on c_custkey = b.obj join t on t.t = 1 + c_nationkey join t i on i.t = t.own and i.iface join fits on fits.type = b.type and fits.to_type = i.t""", base=False)
 def accepted_bindings(spark: SparkSession, d: str) -> DataFrame:
-    t = _types(spark, d)
-    targets = em.table(spark, d, "customer").select(F.col("c_custkey").alias("obj"), (F.lit(1) + F.col("c_custkey") % 40).alias("type_id"))
-    fits = t.where("type_id <= 50").select(F.col("type_id").alias("from_type")).join(t.where("type_id <= 50").select(F.col("type_id").alias("to_type")), F.col("from_type") % 2 == F.col("to_type") % 2)
-    return valueflow.accepted(_bindings(spark, d), targets, t, fits)
+    k, line = F.col("type_id"), em.table(spark, d, "lineitem")
+    t = _types(spark, d).withColumn("kind", F.when(k % 4 == 0, "slice").otherwise("named")).withColumn("elem_type_id", F.when(k % 4 == 0, F.floor(k / 2).cast("long")))
+    bound = em.table(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("obj"), F.col("l_partkey").alias("type")).distinct()
+    targets = em.table(spark, d, "customer").select(F.col("c_custkey").alias("obj"), (F.lit(1) + F.col("c_nationkey")).alias("type_id"))
+    return valueflow.accepted(bound, targets, t, _fits(spark, d))
+
+
+def _fits(spark: SparkSession, d: str) -> DataFrame:
+    """Which type is assignable to which: parts and the suppliers they came from."""
+    return em.table(spark, d, "lineitem").select(F.col("l_partkey").alias("from_type"), F.col("l_suppkey").alias("to_type")).distinct()
+
+
+@_query("field_bindings", "with recursive " + _FLOW_SQL + """fits as (select distinct l_partkey as t, l_suppkey as i from lineitem join types on types.t = l_suppkey and iface),
+  st as (select distinct l_suppkey as field, l_orderkey as node from lineitem), rd as (select o_orderkey as node, 1 + o_custkey % 10 as field from orders where o_orderstatus = 'O'),
+  named as (select node, t from e join bind on obj = object),
+  s1 as (select node, t from named union select e.parent, s.t from s1 s join e on e.node = s.node and e.kind < 3),
+  f1 as (select distinct st.field, s1.t from st join s1 using (node) join fits on fits.t = s1.t and fits.i = st.field),
+  n2 as (select node, t from named union select rd.node, f1.t from rd join f1 using (field)),
+  s2 as (select node, t from n2 union select e.parent, s.t from s2 s join e on e.node = s.node and e.kind < 3)
+  select field, t as type from f1 union select st.field, s2.t from st join s2 using (node) join fits on fits.t = s2.t and fits.i = st.field""", base=False)
+def field_bindings(spark: SparkSession, d: str) -> DataFrame:
+    expr = _expr(spark, d)
+    stores = em.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("field"), F.col("l_suppkey").alias("type_id"), F.col("l_orderkey").alias("node")).distinct()
+    reads = em.table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("node"), (F.lit(1) + F.col("o_custkey") % 10).alias("field"))
+    none = spark.createDataFrame([], "node long, inner long, type long")
+    return valueflow.field_bindings(stores, reads, expr.select("node", "object", "static_type"), expr, _bindings(spark, d), _types(spark, d), none, _fits(spark, d))
+
+
+def _returns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, their targets and returns: open orders call the suppliers of their lines."""
+    k = F.col("o_orderkey")
+    calls = em.table(spark, d, "orders").where("o_orderstatus = 'O'").select(k.alias("call"), k.alias("callee"), (k % 2).alias("result"))
+    targets = em.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("label")).distinct()
+    returns = em.table(spark, d, "supplier").select(F.col("s_suppkey").alias("function"), (F.col("s_nationkey") % 2).alias("result"), (F.col("s_suppkey") * 3).alias("node"))
+    return calls, targets, returns
 
 
-@_query("function_targets", "with recursive " + _FLOW_SQL + """base as (select node, 'lit' || node as f from e where node % 11 = 0 union select node, 'fn' || s_suppkey from e join supplier on s_suppkey = object union select node, 'st' || (object % 13) from e where object % 4 = 0),
+@_query("call_result_types", "with recursive " + _FLOW_SQL + """ways as (select node as src, parent as dst from e where kind < 3
+    union select s_suppkey * 3, o_orderkey from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey and s_nationkey % 2 = o_orderkey % 2 where o_orderstatus = 'O'),
+  strong as (select node, t from e join bind on obj = object union select dst, s.t from strong s join ways on src = s.node)
+  select node, t as label from strong union select node, 1 + node % 40 from e join types on types.t = 1 + node % 40 and not iface where node not in (select node from strong)""", base=False)
+def call_result_types(spark: SparkSession, d: str) -> DataFrame:
+    expr = _expr(spark, d)
+    none = spark.createDataFrame([], "node long, inner long, type long")
+    fits = spark.createDataFrame([], "from_type long, to_type long")
+    ways = valueflow.result_edges(*_returns(spark, d))
+    return valueflow.expression_types(expr.select("node", "object", "static_type"), expr, _bindings(spark, d), _types(spark, d), none, fits, ways)
+
+
+@_query("function_targets", "with recursive " + _FLOW_SQL + """base as (select node, 'lit' || node as f from e where node % 11 = 0 union select node, 'fn' || s_suppkey from e join supplier on s_suppkey = object union select node, 'st' || (c_custkey % 13) from e join customer on c_custkey = object),
   r as (select node, f from base union select e.parent, r.f from r join e on e.node = r.node and e.kind < 3) select node, f as label from r""", base=False)
 def function_targets(spark: SparkSession, d: str) -> DataFrame:
+    expr, literals, named, stores = _function_facts(spark, d)
+    return valueflow.function_targets(expr.select("node", "object"), expr, literals, named, stores)
+
+
+def _function_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Expressions, literals, named functions and stores: every customer holds a function."""
     expr = _expr(spark, d)
     literals = expr.where("node % 11 = 0").select("node", F.concat(F.lit("lit"), F.col("node").cast("string")).alias("label"))
     named = em.table(spark, d, "supplier").select(F.col("s_suppkey").alias("obj"), F.concat(F.lit("fn"), F.col("s_suppkey").cast("string")).alias("function"))
-    stores = em.table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("obj"), F.concat(F.lit("st"), (F.col("c_custkey") % 13).cast("string")).alias("target"))
-    stores = stores.unionByName(expr.where("object % 4 = 0").select(F.col("object").alias("obj"), F.concat(F.lit("st"), (F.col("object") % 13).cast("string")).alias("target"))).distinct()
-    return valueflow.function_targets(expr.select("node", "object"), expr, literals, named, stores)
+    stores = em.table(spark, d, "customer").select(F.col("c_custkey").alias("obj"), F.concat(F.lit("st"), (F.col("c_custkey") % 13).cast("string")).alias("target"))
+    return expr, literals, named, stores
+
+
+@_query("function_targets_returns")
+def function_targets_returns(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: what a call returns depends on what it calls, found on the way."""
+    expr, literals, named, stores = _function_facts(spark, d)
+    calls, _, returns = _returns(spark, d)
+    returns = returns.withColumn("function", F.concat(F.lit("fn"), F.col("function").cast("string")))
+    return valueflow.function_targets(expr.select("node", "object"), expr, literals, named, stores, calls, returns)
 
 
 @_query("conversion_passthrough", "with recursive " + _FLOW_SQL + """r as (select node, object as label from e where node % 10 = 0 union select e.parent, r.label from r join e on e.node = r.node and e.kind < 3) select node, label from r""", base=False)
