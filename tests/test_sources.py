@@ -67,3 +67,40 @@ def test_cache(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("FAULTLINE_CACHE", "relative")
     with pytest.raises(ValueError, match="absolute"):
         snapshots.Cache.default()
+
+
+@pytest.fixture
+def exported(repository):
+    """Three commits: the second changes lib, the third only a module's checksum."""
+
+    def commit(value, checksum):
+        snapshot = document(value) | {"module_hash": checksum}
+        init = "m/cmd::package-init::$init"
+        snapshot["symbols"][init] = {"id": init, "package_path": "m/cmd", "hash": "i"}
+        packages = [{"package_path": p, "modules": ["x@v1"], "sum_keys": ["x@v1"] if p == "m/cmd" else []} for p in ("m/lib", "m/cmd")]
+        (repository / "snapshot.json").write_text(json.dumps(snapshot))
+        (repository / "modules.json").write_text(json.dumps({"packages": packages, "sums": {"x@v1": checksum}, "config": "c"}))
+        subprocess.run(["git", "-C", str(repository), "add", "."], check=True)
+        subprocess.run(["git", "-C", str(repository), "commit", "-qm", value], check=True)
+
+    commit("a", "1")
+    commit("b", "1")
+    commit("b", "2")
+    return repository
+
+
+def test_command_line_on_a_repository(spark, exported, monkeypatch, tmp_path_factory):
+    monkeypatch.setenv("FAULTLINE_CACHE", str(tmp_path_factory.mktemp("cache")))
+
+    def run(old, new, *more):
+        out, err = io.StringIO(), io.StringIO()
+        status = cli.run(["-repo", str(exported), "-exporter", "cat snapshot.json", "-cache", "-old", old, "-new", new, *more], out, err)
+        return status, out.getvalue(), err.getvalue()
+
+    assert run("HEAD~2", "HEAD~1") == (0, "cmd.cmd\nlib.lib\n", "")
+    assert run("HEAD", "HEAD") == (0, "", "")
+    status, _, err = run("HEAD~1", "HEAD")
+    assert status == 1 and "module files differ" in err
+    assert run("HEAD~1", "HEAD", "-modules", "cat modules.json") == (0, "cmd.cmd\n", "")
+    status, _, err = run("HEAD~4", "HEAD")
+    assert status == 1 and "load old snapshot" in err
