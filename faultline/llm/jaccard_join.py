@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -44,6 +43,8 @@ PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 BROADCAST_PAIRS = 2_000_000
 #: Pairs that one task compares, about.
 _PAIRS_A_TASK = 4096
+#: A text with more pairs than this may go to several tasks.
+_LEAST_SHARE = 16
 #: Texts are handled so many bytes at a time.
 _SLICE_BYTES = 2 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -266,15 +267,24 @@ class _Join:
         return settled(some.mapInArrow(squeeze, "text long, raw binary").dropDuplicates(["text"]))
 
     def tested(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """(a, b, linked, d) for distinct pairs; a may be in very many."""
+        """(a, b, linked, d) for distinct pairs; a may be in very many.
+
+        An a goes to as many lanes as its pairs need, to one if they are few;
+        so no lane has many more pairs than others, and few texts go twice.
+        """
         n, percent = self.n, self.percent
         pairs = settled(pairs.select("a", "b").distinct())
         count = pairs.count()
         lanes = max(4 * width(pairs.sparkSession), count // _PAIRS_A_TASK)
+        share = max(_LEAST_SHARE, count // (4 * lanes))
         small = F.broadcast if count <= BROADCAST_PAIRS else lambda df: df  # beyond it, the texts are shuffled
-        pairs = pairs.withColumn("lane", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(lanes)).cast("int"))
-        theirs = texts.withColumnRenamed("text", "b").join(small(pairs), "b")
-        pivots = texts.withColumnRenamed("text", "a").join(small(pairs.select("a", "lane").distinct()), "a")
+        degrees = pairs.groupBy("a").agg(F.count("*").alias("_k"))
+        slot = F.pmod(F.xxhash64("b"), F.ceil(F.col("_k") / share))  # one of an a with few pairs
+        lane = F.pmod(F.xxhash64("a", slot), F.lit(lanes)).cast("int")
+        pairs = settled(attach_groups(pairs, degrees, "a", "_k", count).select("a", "b", lane.alias("lane")))
+        # a text goes to a lane once, however many pairs it has there
+        theirs = texts.withColumnRenamed("text", "b").join(small(pairs.select("b", "lane").distinct()), "b")
+        pivots = texts.withColumnRenamed("text", "a").join(small(pairs.groupBy("a", "lane").agg(F.collect_list("b").alias("near"))), "a")
         # columns of their own, as both sides stem from the same tables
         pivots = pivots.select(*[F.col(c).alias(c) for c in pivots.columns])
         shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("d", pa.float64())])
@@ -283,25 +293,23 @@ class _Join:
             own: dict[int, np.ndarray] = {}
             for ids, part in _unpacked(known.column("a"), known.column("raw")):
                 own.update(zip(ids, _sets(part, n), strict=True))
-            order = pc.sort_indices(table.column("b"))
-            table = table.take(order)
-            linked, d, seen = [], [], {}
-            first, near = table.column("a").to_pylist(), table.column("b").to_numpy()
-            new = np.append(True, near[1:] != near[:-1])[: len(near)]
-            once = table.filter(pa.array(new))
-            at = 0
-            for ids, part in _unpacked(once.column("b"), once.column("raw")):
-                seen = dict(zip(ids, _sets(part, n), strict=True))
-                while at < len(near) and near[at] in seen:
-                    x, y = own[first[at]], seen[near[at]]
-                    both = int(blocks.in_sorted(y, x)[1].sum())
-                    either = len(x) + len(y) - both
-                    linked.append(either > 0 and 100 * both >= percent * either)
-                    d.append(1 - both / max(either, 1))
-                    at += 1
-            own, seen = {}, {}
+            pivots_of: dict[int, list[int]] = {}
+            for i, near in zip(known.column("a").to_pylist(), known.column("near").to_pylist(), strict=True):
+                for j in near:
+                    pivots_of.setdefault(j, []).append(i)
+            a, b, linked, d = [], [], [], []
+            for ids, part in _unpacked(table.column("b"), table.column("raw")):
+                for j, y in zip(ids, _sets(part, n), strict=True):
+                    for i in pivots_of[j]:
+                        both = int(blocks.in_sorted(y, own[i])[1].sum())
+                        either = len(own[i]) + len(y) - both
+                        a.append(i)
+                        b.append(j)
+                        linked.append(either > 0 and 100 * both >= percent * either)
+                        d.append(1 - both / max(either, 1))
+            own = {}
             give_back()
-            return pa.Table.from_arrays([table.column("a").combine_chunks(), table.column("b").combine_chunks(), pa.array(linked, pa.bool_()), pa.array(d, pa.float64())], schema=shape)
+            return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(d, pa.float64())], schema=shape)
 
         return settled(theirs.groupBy("lane").cogroup(pivots.groupBy("lane")).applyInArrow(verify, "a long, b long, linked boolean, d double"))
 

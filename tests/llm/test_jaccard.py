@@ -58,3 +58,23 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_pairs_of_a_text_in_many_lanes(spark, monkeypatch):
+    """A pivot with most of all pairs, and texts that are in several of them."""
+    monkeypatch.setattr(jaccard_join, "_LEAST_SHARE", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((i, " ".join(t), "s"))
+    join = jaccard_join._Join(spark.createDataFrame(rows, SCHEMA), 4, 85)
+    texts = join.stored(join.single.select(jaccard_join.F.col("_tid").alias("text")))
+    ids = {r["_d"]: r["_tid"] for r in join.rows.select("_d", "_tid").collect()}
+    pairs = {(ids[a], ids[b]) for a, b in [(0, i) for i in range(1, 120)] + [(i, i + 1) for i in range(1, 40)] if ids[a] != ids[b]}
+    got = {(r.a, r.b): (r.linked, r.d) for r in join.tested(spark.createDataFrame(sorted(pairs), "a long, b long"), texts).collect()}
+    sets = {ids[i]: shingles(t) for i, t, _ in rows}
+    assert got == {(a, b): (100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]), 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in pairs}
