@@ -134,11 +134,6 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     return render.names(_new_packages(spark, d))
 
 
-@_query("summary_count", f"select 'Affected packages: ' || count(*) as line from {_NEW}")
-def summary_count(spark: SparkSession, d: str) -> DataFrame:
-    return _new_packages(spark, d).agg(F.concat(F.lit("Affected packages: "), F.count("*").cast("string")).alias("line"))
-
-
 @_query("dot_nodes", f"""select row_number() over (order by path) as n, path, relative_path || '.' || name as label,
   path in (select package_path from changed join owner using (id)) as changed from {_NEW}""")
 def dot_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -292,12 +287,13 @@ def checksum_changed(spark: SparkSession, d: str) -> DataFrame:
     return modules.checksum_changes(_pkg_modules(spark, d), _sums(spark, d))
 
 
-@_query("module_sums_last_wins", """select rev, key, arg_max(v, o * 1000000 + n) as value from (
-  select 'new' as rev, p_brand || '@' || p_type as key, p_name as v, case when p_size % 5 = 0 then 1 else 0 end as o, p_partkey as n from part
-  where len(string_split(p_brand || ' ' || replace(p_type, ' ', '_') || ' ' || p_name, ' ')) = 3) group by rev, key""".replace("p_brand || '@' || p_type", "p_brand || '@' || replace(p_type, ' ', '_')"), base=False)
+@_query("module_sums_last_wins", """select 'new' as rev, replace(p_brand, ' ', '_') || '@' || p_size as key, arg_max(replace(p_name, ' ', '_'), case when p_partkey % 5 = 0 then 1000000000000 else 0 end + p_partkey) as value
+  from part where p_partkey % 7 <> 3 group by all""", base=False)
 def module_sums_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat_ws(" ", "p_brand", F.replace("p_type", F.lit(" "), F.lit("_")), "p_name")
-    p = em.table(spark, d, "part").select(F.lit("new").alias("rev"), F.when(F.col("p_size") % 5 == 0, 1).otherwise(0).alias("file_ord"), F.col("p_partkey").alias("line_no"), line.alias("line"))
+    word = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    extra = F.when(F.col("p_partkey") % 7 == 3, "fourth")  # a line of four fields counts for nothing
+    line = F.concat_ws(" ", word("p_brand"), F.col("p_size").cast("string"), word("p_name"), extra)
+    p = em.table(spark, d, "part").select(F.lit("new").alias("rev"), F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0).alias("file_ord"), F.col("p_partkey").alias("line_no"), line.alias("line"))
     return modules.sums_last_wins(p)
 
 
@@ -694,14 +690,3 @@ def interface_trace(spark: SparkSession, d: str) -> DataFrame:
     methods = s.select(F.col("s_suppkey").alias("type"), (F.col("s_nationkey") % 6).alias("name"), (F.lit(10) + F.col("s_suppkey") % 40).alias("method"))
     owners = methods.select("method").distinct().select("method", F.concat(F.lit("p"), (F.col("method") % 7).cast("string")).alias("pkg"))
     return valueflow.trace_calls(roots, calls, methods, owners)
-
-
-@_query("document_changes", """select doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g'))) as hash from documents""", base=False)
-def document_changes(spark: SparkSession, d: str) -> DataFrame:
-    docs = em.table(spark, d, "documents")
-    return docs.select("doc_id", hashing.text_hash(F.trim(F.regexp_replace(F.lower("text"), "[ \t\n]+", " "))).alias("hash"))
-
-
-@_query("event_properties", "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events", base=False)
-def event_properties(spark: SparkSession, d: str) -> DataFrame:
-    return em.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
