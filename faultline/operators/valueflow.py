@@ -30,7 +30,7 @@ def carried(expr: DataFrame, base: DataFrame, results: DataFrame | None = None)
     """
     edges = expr.where(F.col("parent_kind").isin(*PASS_THROUGH)).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
     if results is not None:
-        edges = edges.unionByName(results.select("src", "dst")).distinct()
+        edges = edges.unionByName(results.select("src", "dst"))
     return labelled_closure(edges, base)
 
 
@@ -47,12 +47,12 @@ def result_edges(calls: DataFrame, targets: DataFrame, returns: DataFrame) -> Da
 
 
 def fallback(*layers: DataFrame) -> DataFrame:
-    """(node, label) of the first layer that has the node."""
+    """(node, label) of the first layer that has the node; no layer has a row twice."""
 
     def add(have: DataFrame, weaker: DataFrame) -> DataFrame:
         return have.unionByName(weaker.join(have.select("node").distinct(), "node", "left_anti"))
 
-    return reduce(add, layers).distinct()
+    return reduce(add, layers)
 
 
 def expression_types(nodes: DataFrame, expr: DataFrame, bindings: DataFrame, types: DataFrame, assertions: DataFrame, assignable: DataFrame, results: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
@@ -70,12 +70,16 @@ def expression_types(nodes: DataFrame, expr: DataFrame, bindings: DataFrame, typ
         named = named.unionByName(given.select("node", "label"))
     concrete = types.where("not is_interface").select(F.col("type_id").alias("type"))
     asserted = assertions.join(concrete, "type", "left_semi").select("node", F.col("type").alias("label"))
-    inner = carried(expr, named.unionByName(asserted), results)
-    filtered = assertions.join(concrete, "type", "left_anti").join(inner.withColumnRenamed("node", "inner"), "inner")
-    filtered = filtered.join(assignable.select(F.col("from_type").alias("label"), F.col("to_type").alias("type")), ["label", "type"]).select("node", "label")
-    strong = carried(expr, inner.unionByName(filtered), results)
+    if results is not None:
+        results = materialize(results)
+    strong = carried(expr, named.unionByName(asserted), results)
+    loose = materialize(assertions.join(concrete, "type", "left_anti"))
+    if not loose.isEmpty():
+        filtered = loose.join(strong.withColumnRenamed("node", "inner"), "inner")
+        filtered = filtered.join(assignable.select(F.col("from_type").alias("label"), F.col("to_type").alias("type")), ["label", "type"]).select("node", "label")
+        strong = strong.unionByName(carried(expr, filtered, results)).distinct()
     static = nodes.join(concrete.withColumnRenamed("type", "static_type"), "static_type", "left_semi").select("node", F.col("static_type").alias("label"))
-    return fallback(strong, static)
+    return fallback(strong, static.distinct())
 
 
 def two_pass_bindings(stores: DataFrame, base: DataFrame) -> DataFrame:

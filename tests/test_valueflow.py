@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from faultline.operators import valueflow
+from faultline.operators import closure, valueflow
+from faultline.runtime import materialize
 
 EXPR = "node long, parent long, parent_kind string"
 
@@ -63,3 +64,24 @@ def test_call_results_carry_types(spark):
     targets = spark.createDataFrame([(20, "f")], "node long, label string")
     returns = spark.createDataFrame([("f", 0, 1)], "function string, result int, node long")
     assert values(valueflow.result_edges(calls, targets, returns)) == {(1, 2)}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_labels_go_as_words(spark, monkeypatch, few, broadcast):
+    # 150 labels make three words; a cycle, a chain into it, one out of it, and a node that leads nowhere
+    monkeypatch.setattr(closure, "FEW_EDGES", few)
+    monkeypatch.setattr(closure, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(closure, "BROADCAST_LABELS", broadcast)
+    edges = [(0, 1), (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (2, 7), (4, 7), (4, 7), (None, 7)]
+    base = [(0, f"a{i}") for i in range(90)] + [(2, f"b{i}") for i in range(59)] + [(5, "c"), (5, "a0"), (8, "b1"), (7, None), (None, "c"), (0, "a0")]
+    want, size = {b for b in base}, -1
+    while size != len(want):
+        size = len(want)
+        want |= {(dst, label) for src, dst in edges for node, label in want if node is not None and node == src}
+    made = []
+    monkeypatch.setattr(closure, "materialize", lambda df: made.append(materialize(df)) or made[-1])
+    got = closure.labelled_closure(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(base, "node long, label string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # what goes from round to round are words, not labels
+    assert max(df.count() for df in made if "node" in df.columns) < 40
