@@ -1,6 +1,7 @@
 """Call results and struct fields, against hand-made facts and brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -85,3 +86,19 @@ def test_labels_go_as_words(spark, monkeypatch, few, broadcast):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     # what goes from round to round are words, not labels
     assert max(df.count() for df in made if "node" in df.columns) < 40
+
+
+@pytest.mark.parametrize("block", [2, 5000])
+def test_indexed_targets_are_joined_last(spark, monkeypatch, block):
+    monkeypatch.setattr(valueflow, "BLOCK_NODES", block, raising=False)
+    rng = random.Random(block)
+    key = lambda: rng.choice([None, 0, 1, 2])
+    asked = [(rng.choice([None, *range(30)]), rng.choice([None, 0, 1, 2]), key()) for _ in range(60)] + [(n, 0, 1) for n in range(40, 60)]
+    stored = [(rng.choice([None, 0, 1]), key(), rng.choice([None, *"abcdef"])) for _ in range(25)]
+    want = {(n, t) for n, o, q in asked for p, s, t in stored if o is not None and o == p and (q is None or s is None or q == s)}
+    got = valueflow.indexed_targets(spark.createDataFrame(asked, "node long, obj int, key long"), spark.createDataFrame(stored, "obj int, key long, target string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    # the large result isn't shuffled to be made distinct
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[node#\w+, target#\w+\]", plan)
