@@ -34,7 +34,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> Dat
 
 
 #: Most rows that a round reaches, labels, and edges that are broadcast; all more than these go through shuffles.
-BROADCAST_ROWS, BROADCAST_LABELS, FEW_EDGES = 100_000, 50_000, 200_000
+BROADCAST_ROWS, BROADCAST_LABELS, FEW_EDGES = 100_000, 50_000, 1_000_000
 
 
 def labelled_closure(edges: DataFrame, base: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -73,7 +73,7 @@ def _peeled(edges: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
     """Layers of edges to nodes without further ones, the rest, and its size."""
     rest = materialize(edges.select("src", "dst").where("src is not null"))
     layers, n = [], rest.count()
-    while n > FEW_EDGES:
+    while n > FEW_EDGES // 10:
         sources = rest.select(F.col("src").alias("dst")).distinct()
         inner = materialize(rest.join(sources, "dst", "left_semi").select("src", "dst"))
         m = inner.count()
