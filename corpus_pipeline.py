@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from faultline.llm.common import held_out, materialize, table, without_rows
+from faultline.llm.common import give_back, held_out, materialize, table, without_rows
 from faultline.llm.queries import CAPACITY, END_ID, tokenizer_path
 
 #: SQL can't express the toxicity classifier or the tokenizer.
@@ -26,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts toxic go."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5))
     model = toxicity.fit(toxicity.training_sample(docs, labels))
+    give_back()  # the driver keeps the model only
     return toxicity.without_toxic(docs, model)
 
 

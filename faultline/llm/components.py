@@ -6,6 +6,7 @@ least that the partition knows.  Pointers then meet by their larger end: a node
 with two pointers links their targets.  Nodes that point to one which points on
 itself jump ahead; what they jump to is small, and goes by a join whose size is
 checked.  Both are repeated until no node has two pointers and none can jump.
+Pointers that are few enough, by count, are closed over by one task instead.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import attach_groups, settled, width
 
+#: Pointers that one task closes over, of 16 bytes each.
+_ONE_TASK = 500_000
 #: Jumps that may be broadcast; more of them go through a shuffle.
 _BROADCAST_JUMPS = 500_000
 _POINTERS = "u long, v long, twice boolean"
@@ -60,8 +63,11 @@ def components(links: DataFrame) -> DataFrame:
     have no nulls.  Each round is checkpointed and no links reach the driver."""
     parts = width(links.sparkSession)
     pointers = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pointers = pointers.mapInArrow(_closed, _POINTERS)
-    while True:
+    pointers = settled(pointers.mapInArrow(_closed, _POINTERS))
+    few = pointers.count() <= _ONE_TASK
+    if few:  # no exchange, and no rounds
+        pointers = settled(pointers.select("u", "v").coalesce(1).mapInArrow(_closed, _POINTERS))
+    while not few:
         pointers = settled(pointers.select("u", "v").repartition(parts, "u").mapInArrow(_closed, _POINTERS))
         double = not pointers.where("twice").isEmpty()
         while True:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, repeats
-from .common import attach_groups, give_back, released, settled, width
+from .common import attach_groups, discard, give_back, released, settled, width
 from .components import components
 
 #: Counters of the sketch that orders shingles.
@@ -245,7 +245,8 @@ class _Join:
         members = settled(sent.where("part = -1").select("gid", "size", "text").mapInArrow(unfold, "text long, gid long, n int").distinct())
         postings = settled(sent.where("part >= 0").groupBy("part").applyInArrow(shared, "token long, gid long, n int, left int"))
         level.destroy()  # all that needs it is checkpointed
-        marks = sent.where("part = -1").select("text", F.col("places").alias("_p")).mapInArrow(odd, "text long, " + ", ".join(f"{c} long" for c in PARITY))
+        marks = settled(sent.where("part = -1").select("text", F.col("places").alias("_p")).mapInArrow(odd, "text long, " + ", ".join(f"{c} long" for c in PARITY)))
+        discard(sent)
         return members, marks, postings
 
     def stored(self, candidates: DataFrame) -> DataFrame:
@@ -261,10 +262,15 @@ class _Join:
                 raw = [pack.compress(t.as_py().encode()) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["text", "raw"])
 
-        wanted = candidates.select(F.col("text").alias("_c"))
-        small = F.broadcast if candidates.count() <= BROADCAST_PAIRS else lambda df: df
-        some = self.single.select("_tid", "text").join(small(wanted), F.col("_tid") == F.col("_c"), "left_semi")
-        return settled(some.mapInArrow(squeeze, "text long, raw binary").dropDuplicates(["text"]))
+        # of the rows that share a text, the one with the least id has it; only ids
+        # that repeat with their text need the texts themselves compared
+        least = self.single.groupBy("_tid").agg(F.min("_d").alias("_least")).withColumnRenamed("_tid", "text")
+        wanted = settled(candidates.join(least, "text").select(F.col("text").alias("_c"), "_least"))
+        n = wanted.count()
+        small = F.broadcast if n <= BROADCAST_PAIRS else lambda df: df
+        some = self.single.select("_tid", "_d", "text").join(small(wanted), (F.col("_tid") == F.col("_c")) & (F.col("_d") == F.col("_least")), "left_semi")
+        out = settled(some.select("_tid", "text").mapInArrow(squeeze, "text long, raw binary"))
+        return out if out.count() == n else settled(out.dropDuplicates(["text"]))
 
     def tested(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, linked, d) for distinct pairs; a may be in very many.
@@ -333,10 +339,11 @@ class _Join:
         units = members.join(groups.select(F.col("leader").alias("text")).unionByName(apart), "text", "left_semi").select(F.col("text").alias("unit"), "gid", "n")
         lists = settled(postings.select("token", "gid", "left").join(units, "gid").select("token", "unit", "n", "left").unionByName(
             units.join(alike, "gid", "left_semi").select(F.col("gid").alias("token"), "unit", "n", F.col("n").alias("left"))))
+        discard(postings)
 
         # the pivot has the shingle earliest: of copies with changes, which give
         # rare shingles, the one with the fewest
-        rank = F.struct((F.col("n") - F.col("left")).alias("p"), F.xxhash64("unit").alias("r"), F.col("unit").alias("pivot"), F.col("n").alias("pn"))
+        rank = F.struct((F.col("n") - F.col("left")).alias("p"), F.col("unit").alias("pivot"), F.col("n").alias("pn"))
         tops = lists.groupBy("token").agg(F.min(rank).alias("_p"), F.count("*").alias("_k"))
         with_pivot = attach_groups(lists, tops, "token", "_k", max(1, lists.count())).select("unit", "n", "_p.pivot", "_p.pn")
         shared = with_pivot.where((F.col("unit") != F.col("pivot")) & self.near("n", "pn")).groupBy("unit", "pivot").agg(F.count("*").alias("c"))
@@ -359,15 +366,19 @@ class _Join:
             own = roots.select(F.col("node").alias(column), F.col("root").alias(f"_{column}"))
             return df.join(own, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
 
-        held = lists.select("token", "unit", "left").join(all_units.select("unit", "center"), "unit").groupBy("token", "center").agg(F.max("left").alias("left"))
-        held = root(held, "center")
-        mixed = held.groupBy("token").agg(F.min("_center").alias("x"), F.max("_center").alias("y")).where("x <> y").select("token")
-        held = settled(held.join(mixed, "token", "left_semi").join(balls, "center"))
+        # what a list needs to know of a unit goes along with it in one join
+        own = root(all_units.select("unit", "center").join(radius.select("center", "lo"), "center"), "center")
+        held = lists.select("token", "unit", "left").join(own, "unit").groupBy("token", "center", "_center", "lo").agg(F.max("left").alias("left"))
+        spread = settled(held)
+        # of what links, the first common shingle is early enough in both texts
+        percent = self.percent
+        mixed = spread.groupBy("token").agg(F.min("_center").alias("x"), F.max("_center").alias("y"), F.min("lo").alias("_lo")).where("x <> y").select("token", "_lo")
+        held = spread.join(mixed, "token").where((100 + percent) * F.col("left") >= percent * (F.col("lo") + F.col("_lo"))).drop("_lo")
+        held = settled(held.join(balls.drop("lo"), "center"))
+        discard(spread)
         facts = ("radius", "cn", "lo", "left", *PARITY)
         left, right = (held.select("token", F.col("center").alias(c), F.col("_center").alias(f"_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in facts]) for c in "ab")
         pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
-        # of what links, the first common shingle is early enough in both texts
-        percent = self.percent
         pairs = pairs.where((100 + percent) * F.least("a_left", "b_left") >= percent * (F.col("a_lo") + F.col("b_lo")))
         pairs = pairs.withColumnsRenamed({"a_radius": "ar", "b_radius": "br"})
         slack = F.lit(self.limit + 1e-9) + F.col("ar") + F.col("br")

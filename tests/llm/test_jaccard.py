@@ -1,6 +1,8 @@
 """Components of the Jaccard join against all pairs."""
 
+import os
 import random
+from urllib.parse import urlparse
 
 from faultline.llm import components, jaccard_join
 
@@ -78,3 +80,49 @@ def test_pairs_of_a_text_in_many_lanes(spark, monkeypatch):
     got = {(r.a, r.b): (r.linked, r.d) for r in join.tested(spark.createDataFrame(sorted(pairs), "a long, b long"), texts).collect()}
     sets = {ids[i]: shingles(t) for i, t, _ in rows}
     assert got == {(a, b): (100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]), 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in pairs}
+
+
+def test_few_pointers_take_one_task_and_many_take_rounds(spark, monkeypatch):
+    """The same roots either way; few pointers need two checkpoints, not rounds of exchanges."""
+    rng = random.Random(7)
+    links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(200, 200)]
+    frame, made, settled = spark.createDataFrame(links, "a long, b long").repartition(5), [], components.settled
+    monkeypatch.setattr(components, "settled", lambda df: made.append(df) or settled(df))
+    few = sorted(map(tuple, components.components(frame).collect()))
+    assert len(made) == 2
+    monkeypatch.setattr(components, "_ONE_TASK", 0)
+    assert sorted(map(tuple, components.components(frame).collect())) == few
+    assert len(made) > 4
+
+
+def test_messages_are_deleted_and_texts_not_shuffled(spark, monkeypatch):
+    made, settled = [], jaccard_join.settled
+    monkeypatch.setattr(jaccard_join, "settled", lambda df: made.append((df, settled(df))) or made[-1][1])
+    rows = [(1, "a b c d e", "s"), (2, "a b c d e", "s"), (3, "f g h i", "s")]
+
+    def stored(rows):
+        join = jaccard_join._Join(spark.createDataFrame(rows, SCHEMA), 4, 85)
+        join.index()
+        assert [os.path.exists(urlparse(out.checkpoint_file).path) for _, out in made] == [False, True, True, True]
+        texts = join.stored(join.single.select(jaccard_join.F.col("_tid").alias("text")).distinct())
+        assert texts.count() == texts.select("text").distinct().count() == 2
+        return [df._jdf.queryExecution().optimizedPlan().toString() for df, out in made[4:] if "raw" in out.columns]
+
+    plans = stored(rows)
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
+    made.clear()
+    assert len(stored([*rows, (1, "a b c d e", "s"), (1, "a b c d e", "t")])) == 2  # an id repeats with its text
+
+
+def test_lists_with_texts_of_many_sizes(spark):
+    """Texts of different sizes in one list, whose places decide which are compared."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        t = base[: rng.randint(60, 80)] + [f"x{rng.randrange(12)}" for _ in range(rng.randint(0, 14))]
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = rng.choice("yz")
+        rows.append((i, " ".join(t), "s"))
+    got = sorted(tuple(r) for r in jaccard_join.similar_components(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute(rows)
