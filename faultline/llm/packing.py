@@ -34,6 +34,8 @@ _OLD = unicodedata.ucd_3_2_0
 _LONG_WORD = 1000
 #: Texts are encoded so many characters, or texts, at a time.
 _BLOCK_CHARS, _BLOCK_ROWS = 4_000_000, 20_000
+#: New words go to the tokenizer so many at a time, as it holds far more than their text.
+_FRESH_WORDS = 8_000
 
 
 #: ASCII marks at the end of a word; none is a letter, a digit or white space.
@@ -72,10 +74,10 @@ class _Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self.forget()
         self.by_word = bool(self.ends.any()) and self._probes()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.numbers: dict[str, int] = defaultdict(count().__next__)
         self.ids, self.bounds = np.empty(0, "<u4"), np.zeros(1, np.int64)
         self.cores: dict[str, bytes] = {"": b""}
@@ -100,7 +102,7 @@ class _Encoder:
             return self._all(texts)
         known = len(self.bounds) - 1
         if len(self.numbers) != known or max(known, len(self.cores), len(self.marks)) > _CACHED_WORDS:
-            self._forget()  # full, or left halfway by an error
+            self.forget()  # full, or left halfway by an error
             known = 0
         number, parts = self.numbers.__getitem__, []
         for text in texts:
@@ -130,7 +132,9 @@ class _Encoder:
         core_of = "\n".join(core_of).lower().split("\n")
         for mark in set(mark_of).difference(marks):
             marks[mark] = self._one(mark)
-        self._learn_cores(list(set(core_of).difference(cores)))
+        fresh = list(set(core_of).difference(cores))
+        for s in range(0, len(fresh), _FRESH_WORDS):
+            self._learn_cores(fresh[s : s + _FRESH_WORDS])
         out = list(map(concat, map(cores.__getitem__, core_of), map(marks.__getitem__, mark_of)))
         odd = []
         for i in [i for i, o in enumerate(other) if o]:
@@ -142,8 +146,10 @@ class _Encoder:
             if core not in cores:  # not of Latin-1, so lower case is left to the tokenizer
                 cores[core] = self._one(core)
             out[i] = cores[core] + (marks.get(mark) or self._one(mark))
-        for i, ids in zip(odd, self._all([words[i] for i in odd]), strict=True):
-            out[i] = ids
+        for s in range(0, len(odd), _FRESH_WORDS):
+            some = odd[s : s + _FRESH_WORDS]
+            for i, ids in zip(some, self._all([words[i] for i in some]), strict=True):
+                out[i] = ids
         return out
 
     def _learn_cores(self, fresh: list[str]) -> None:
@@ -192,22 +198,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for block in _encoded(encoder, batches):
-            rows: list[tuple] = []
-            for doc_id, ids in block:
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, part if include_ids else None))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if include_ids:
-                    arrays.append(pa.array(cols[5], pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        try:
+            for block in _encoded(encoder, batches):
+                rows: list[tuple] = []
+                for doc_id, ids in block:
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, part if include_ids else None))
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
+                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                    if include_ids:
+                        arrays.append(pa.array(cols[5], pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+        finally:
+            encoder.forget()  # the worker may be kept for other stages
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * include_ids
     return slim(docs, "doc_id", "text").mapInArrow(run, schema)

@@ -38,3 +38,17 @@ def test_other_tokenizers_get_whole_texts():
     assert not encoder.by_word
     texts = ["Hello, World.", "a  b\nc", ""]
     assert encoder.encode(texts) == [encoder._one(t) for t in texts]
+
+
+def test_new_words_go_in_small_lots(monkeypatch):
+    encoder = packing._Encoder(tokenizer_path())
+    texts = [" ".join(f"word{chr(97 + i % 26)}{i} x{i}. {chr(97 + i % 26)}b{chr(99 + i // 26)}, İ{i}." for i in range(60))]
+    whole, lots = encoder.encode(texts), []
+    assert whole == encoder._all(texts)
+    encoder.forget()
+    monkeypatch.setattr(packing, "_FRESH_WORDS", 7)
+    cores, every = encoder._learn_cores, encoder._all
+    monkeypatch.setattr(encoder, "_learn_cores", lambda w: lots.append(len(w)) or cores(w))
+    monkeypatch.setattr(encoder, "_all", lambda w: lots.append(len(w)) or every(w))
+    assert encoder.encode(texts) == whole
+    assert max(lots) == 7 and len(lots) > 10
