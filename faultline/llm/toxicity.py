@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,8 @@ TRAIN_ROWS = 8_000
 #: Lengths of the stems (first letters, marked by an asterisk) of longer words.
 STEMS = (4, 5, 6)
 _HASH_BITS, _SCREENED, _LEAST_Z = 22, 3000, 3.0
+#: Cells and numbers of the design that the fit holds as floats at a time.
+_CELLS, _DENSE = 1 << 16, 1 << 20
 
 
 def features_of(text: str | None, whole: frozenset[str]) -> set[str]:
@@ -80,39 +83,50 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def _screen(texts: list[str | None], y: np.ndarray, always: frozenset[str]) -> list[set[str]]:
+def _screen(texts: list[str | None], y: np.ndarray, always: frozenset[str]) -> list[tuple[str, ...]]:
     """Of each text, the features that are associated with the label."""
-    counts = np.zeros((2, 1 << _HASH_BITS))
+    counts = np.zeros((2, 1 << _HASH_BITS), np.min_scalar_type(len(texts)))
     code = lambda f: zlib.crc32(f.encode()) >> (32 - _HASH_BITS)
     for text, t in zip(texts, y, strict=True):
         counts[int(t), np.unique(np.fromiter(map(code, features_of(text, always)), np.int64))] += 1
     n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
-    rate, both = counts / n[:, None], counts.sum(0) / n.sum()
-    z = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n).sum() + 1e-12)
-    z[counts.sum(0) < 3] = 0
-    kept = set(np.argsort(-z, kind="stable")[:_SCREENED].tolist()) & set(np.nonzero(z >= _LEAST_Z)[0].tolist())
-    return [{f for f in features_of(text, always) if f in always or code(f) in kept} for text in texts]
+    cells, strength = [], []
+    for at in range(0, 1 << _HASH_BITS, _CELLS):  # the driver has no room for floats of all cells
+        some = counts[:, at : at + _CELLS].astype(float)
+        rate, both = some / n[:, None], some.sum(0) / n.sum()
+        z = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n).sum() + 1e-12)
+        found = np.nonzero((some.sum(0) >= 3) & (z >= _LEAST_Z))[0]
+        cells.append(at + found)
+        strength.append(z[found])
+    cells, strength = np.concatenate(cells), np.concatenate(strength)
+    kept = set(cells[np.argsort(-strength, kind="stable")[:_SCREENED]].tolist())
+    del counts
+    names: dict[str, str] = {}  # a feature is held once, however many texts have it
+    return [tuple(names.setdefault(f, f) for f in features_of(text, always) if f in always or code(f) in kept) for text in texts]
 
 
 class _Problem:
     """Design and counterfactual pairs over the features in ``index``."""
 
-    def __init__(self, sets: list[set[str]], index: dict[str, int], following: dict[str, str]) -> None:
-        r, c, pairs = [], [], {}
+    def __init__(self, sets: list[tuple[str, ...]], index: dict[str, int], following: dict[str, str]) -> None:
+        r, c, pairs = array("i"), array("i"), {}
         for i, s in enumerate(sets):
             own = sorted(index[f] for f in s if f in index)
-            r += [i] * len(own)
-            c += own
+            r.extend([i] * len(own))
+            c.extend(own)
             swap = {w: following[w] for w in s if following.get(w) and w in index and following[w] in index and following[w] not in s}
             if swap:
                 key = tuple(sorted(swap.items()))
                 pairs[key] = pairs.get(key, 0) + 1
-        self.n, self.p, self.r, self.c = len(sets), len(index), np.array(r, int), np.array(c, int)
-        self.swaps = np.zeros((len(pairs), self.p))
+        self.n, self.p, self.r, self.c = len(sets), len(index), np.array(r, np.int32), np.array(c, np.int32)
+        # only terms that are swapped have columns
+        self.terms = np.array(sorted({index[w] for key in pairs for pair in key for w in pair}), int)
+        column = {t: k for k, t in enumerate(self.terms.tolist())}
+        self.swaps = np.zeros((len(pairs), len(column)))
         for k, (key, times) in enumerate(pairs.items()):
             for a, b in key:
-                self.swaps[k, index[a]] += times**0.5
-                self.swaps[k, index[b]] -= times**0.5
+                self.swaps[k, column[index[a]]] += times**0.5
+                self.swaps[k, column[index[b]]] -= times**0.5
 
     def margin(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.r, weights=w[self.c], minlength=self.n) + w[self.p]
@@ -122,7 +136,7 @@ class _Problem:
         e = (q - y) / self.n
         g = np.bincount(self.c, weights=e[self.r], minlength=self.p + 1)
         g[self.p] = e.sum()
-        g[: self.p] += 2 * swap / self.n * (self.swaps.T @ (self.swaps @ w[: self.p]))
+        g[self.terms] += 2 * swap / self.n * (self.swaps.T @ (self.swaps @ w[self.terms]))
         return g, q
 
 
@@ -144,16 +158,21 @@ def _select(problem: _Problem, y: np.ndarray, l1: float, swap: float, steps: int
 def _refit(problem: _Problem, y: np.ndarray, l2: float, swap: float, steps: int = 25) -> tuple[np.ndarray, float]:
     """Newton steps of the ridge-penalised logistic loss."""
     p = problem.p
-    x = np.zeros((problem.n, p + 1))
-    x[problem.r, problem.c] = 1
-    x[:, p] = 1
     ridge = np.diag([l2] * p + [0.0])
-    ridge[:p, :p] += 2 * swap / problem.n * (problem.swaps.T @ problem.swaps)
+    ridge[np.ix_(problem.terms, problem.terms)] += 2 * swap / problem.n * (problem.swaps.T @ problem.swaps)
     w = np.zeros(p + 1)
+    share = max(1, _DENSE // (p + 1))
     for _ in range(steps):
         g, q = problem.slope(w, y, swap)
         g[:p] += l2 * w[:p]
-        h = (x * (q * (1 - q) / problem.n + 1e-9)[:, None]).T @ x + ridge
+        h = ridge.copy()
+        for at in range(0, problem.n, share):  # dense rows of some texts only
+            s, e = np.searchsorted(problem.r, [at, at + share])
+            x = np.zeros((min(share, problem.n - at), p + 1))
+            x[problem.r[s:e] - at, problem.c[s:e]] = 1
+            x[:, p] = 1
+            own = q[at : at + share]
+            h += (x * (own * (1 - own) / problem.n + 1e-9)[:, None]).T @ x
         d = np.linalg.solve(h + 1e-9 * np.eye(p + 1), g)
         w = w - d * min(1.0, 2.0 / (np.abs(d).max() + 1e-12))
         if np.abs(d).max() < 1e-6:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -106,3 +107,34 @@ def test_score_of_the_language_model(spark):
             score += math.log10((min(floor(two[a, b]), one[a], one[b]) + model.mass * p) / (one[a] + model.mass))
         want.append((str(i), round(score, 6)))
     assert got == sorted(want)
+
+
+def test_toxicity_fit_fits_a_small_driver():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(" ".join(rng.choices(words, k=20)) + " bad" * (i % 2), i % 2) for i in range(400)]
+    tracemalloc.start()
+    model = toxicity.fit(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    assert model.score("bad") > 0.5 > model.score("w0")
+
+
+def test_toxicity_refit_by_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    following = {"women": "men", "men": "women"}
+    index = {f: i for i, f in enumerate(["a", "b", "c", "men", "women"])}
+    sets = [tuple(f for f in index if rng.random() < 0.4) for _ in range(500)]
+    y = np.array([float(("a" in s) != (rng.random() < 0.2)) for s in sets])
+    problem = toxicity._Problem(sets, index, following)
+    whole = toxicity._refit(problem, y, 2e-4, 10.0)
+    monkeypatch.setattr(toxicity, "_DENSE", 50)
+    parts = toxicity._refit(problem, y, 2e-4, 10.0)
+    assert np.allclose(whole[0], parts[0]) and np.isclose(whole[1], parts[1])
+    # at the least of the loss with the swaps of every text spelled out
+    w, d = np.append(*whole), np.array([[(f in s) for f in index] + [1] for s in sets], float)
+    swaps = np.array([w[3] - w[4] if "women" in s else w[4] - w[3] for s in sets if ("women" in s) != ("men" in s)])
+    slope = d.T @ (1 / (1 + np.exp(-d @ w)) - y) / 500 + 2e-4 * np.append(w[:5], 0)
+    pull = 2 * 10.0 / 500 * len(swaps) * (w[3] - w[4])
+    assert np.allclose(slope + np.array([0, 0, 0, pull, -pull, 0]), 0, atol=1e-6)
