@@ -102,3 +102,18 @@ def test_indexed_targets_are_joined_last(spark, monkeypatch, block):
     # the large result isn't shuffled to be made distinct
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[node#\w+, target#\w+\]", plan)
+
+
+def test_large_results_lie_close_together(spark, tmp_path):
+    # 100 nodes ask for 30000 targets each: node by node, no target would be met again within a page of a file
+    asked = spark.range(100).selectExpr("id as node", "0 as obj", "id % 2 as key")
+    stored = spark.range(60000).selectExpr("0 as obj", "cast(null as long) as key", "'target' || id % 30000 as target")
+    got = valueflow.indexed_targets(asked, stored)
+    got.write.parquet(out := str(tmp_path / "out"))
+    rows = spark.read.parquet(out)
+    assert rows.count() == rows.distinct().count() == 100 * 30000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1_400_000
+    # a compiled loop over the nodes would hold all rows that come of one run of targets; the executed plan marks what is compiled
+    got.foreachPartition(lambda rows: None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"^[^*\n]*Generate explode\(transform\(nodes", plan, re.M)
